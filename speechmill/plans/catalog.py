@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scores",)
+MODULES = ("scores", "speeches")
 
 
 def _merged(attribute: str) -> dict:
