@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scores", "speeches")
+MODULES = ("scores", "speeches", "words", "dialogues")
 
 
 def _merged(attribute: str) -> dict:
