@@ -78,25 +78,31 @@ def page_headers(pages: DataFrame, markup: Markup = Markup(), page: str = "page_
     )
 
 
+def _listed_items(block: Column, label: str, list_item: str) -> Column:
+    return F.transform(
+        F.regexp_extract_all(block, F.lit(list_item), 1),
+        lambda item, i: F.struct(
+            F.lit(label).alias("section"),
+            (i + 1).alias("item_order"),
+            F.regexp_replace(markup_text(item), r"^\d+\.\s*", "").alias("item_text"),
+        ),
+    )
+
+
 HEADER_COLUMNS = ("session", "session_type", "meeting_no", "date")
 
 
 def header_rows(headers: DataFrame, markup: Markup = Markup(), page: str = "page_id", html: str = "html") -> DataFrame:
     """The date row of every page and one row per listed agenda item, numbered from 1."""
-    items = F.array(F.struct(F.lit(markup.date_section).alias("section"), F.lit(None).cast("int").alias("item_order"), F.col("date").alias("item_text")))
-    for label, pattern in markup.sections:
-        listed = F.regexp_extract_all(_first(F.col(html), pattern), F.lit(markup.list_item), 1)
-        items = F.concat(
-            items,
-            F.transform(
-                listed,
-                lambda item, i, label=label: F.struct(
-                    F.lit(label).alias("section"),
-                    (i + 1).alias("item_order"),
-                    F.regexp_replace(markup_text(item), r"^\d+\.\s*", "").alias("item_text"),
-                ),
-            ),
+    items = F.array(
+        F.struct(
+            F.lit(markup.date_section).alias("section"),
+            F.lit(None).cast("int").alias("item_order"),
+            F.col("date").alias("item_text"),
         )
+    )
+    for label, pattern in markup.sections:
+        items = F.concat(items, _listed_items(_first(F.col(html), pattern), label, markup.list_item))
     return headers.select(page, *HEADER_COLUMNS, F.inline(items))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scores", "speeches", "words", "dialogues")
+MODULES = ("scores", "speeches", "words", "dialogues", "pages")
 
 
 def _merged(attribute: str) -> dict:
