@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from speechmill.functions.expr import let
 from speechmill.operators.rollups import top_k
 
 
@@ -100,8 +101,6 @@ def missing_vectors(rows: DataFrame, vectors: DataFrame, on: str = "content_hash
 
 def unit(vector: Column) -> Column:
     """Vector scaled to length 1; a zero vector stays zero."""
-    from speechmill.functions.expr import let
-
     wide = F.transform(vector, lambda x: x.cast("double"))
     return let(
         wide,
@@ -112,20 +111,24 @@ def unit(vector: Column) -> Column:
     )
 
 
-def nearest(
-    vectors: DataFrame, queries: list[tuple[int, list[float]]], key: str, vector: str = "embedding", k: int = 5
-) -> DataFrame:
+def query_list(queries: DataFrame, query: str, vector: str = "embedding", limit: int = 1000) -> Column:
+    """A small table of query vectors as one array; more than ``limit`` of them is an error."""
+    gathered = queries.limit(limit + 1).agg(
+        F.collect_list(F.struct(F.col(query).alias("query"), unit(F.col(vector)).alias("v"))).alias("q")
+    )
+    checked = gathered.select(
+        F.when(F.size("q") <= limit, F.col("q")).otherwise(F.raise_error(F.lit(f"more than {limit} query vectors")))
+    )
+    return checked.scalar()
+
+
+def nearest(vectors: DataFrame, queries: Column, key: str, vector: str = "embedding", k: int = 5) -> DataFrame:
     """Rows most similar to each query vector by cosine.
 
-    The queries are a literal list in the plan, so the vectors are read once and never shuffled as
-    a whole: each task keeps its best ``k`` rows per query.
+    ``queries`` comes from :func:`query_list`. The vectors are read once and never shuffled as a
+    whole: each task keeps its best ``k`` rows per query.
     """
-    literal = F.array(
-        *[F.struct(F.lit(q).alias("query"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for q, v in queries]
-    )
-    scored = vectors.select(key, unit(F.col(vector)).alias("_u")).select(
-        key, "_u", F.explode(F.transform(literal, lambda q: F.struct(q["query"].alias("query"), unit(q["v"]).alias("v")))).alias("_q")
-    )
+    scored = vectors.select(key, unit(F.col(vector)).alias("_u")).select(key, "_u", F.explode(queries).alias("_q"))
     dot = F.aggregate(F.zip_with("_u", F.col("_q.v"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     rows = scored.select(F.col("_q.query").alias("query"), key, dot.alias("similarity"))
     return top_k(rows, ["query"], [F.desc(F.round("similarity", 9)), F.asc(key)], k)

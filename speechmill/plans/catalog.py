@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scores", "speeches", "words", "dialogues", "pages")
+MODULES = ("scores", "speeches", "words", "dialogues", "pages", "studies", "upkeep")
 
 
 def _merged(attribute: str) -> dict:
