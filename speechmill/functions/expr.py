@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,36 @@ def blank_to_null(value: Column) -> Column:
 def join_lines(*parts: Column, sep: str = "\n") -> Column:
     """Join the parts that are neither null nor empty."""
     return F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != "")), sep)
+
+
+def unnest(df: DataFrame, keep, elements: Column, name: str = "") -> DataFrame:
+    """``keep`` columns and one row per array element; a struct element becomes its fields.
+
+    An inner generator makes the optimizer infer a size filter on its input, which computes an
+    expensive array twice. The outer form does not, and the row it adds for an empty array is
+    dropped again. Elements must not be null.
+    """
+    rows = df.select(*keep, F.explode_outer(elements).alias("_element")).filter(F.col("_element").isNotNull())
+    if name:
+        return rows.withColumnRenamed("_element", name)
+    return rows.select("*", "_element.*").drop("_element")
+
+
+def computed_if(df: DataFrame, out: str, value: Column, condition: Callable[[Column], Column]) -> DataFrame:
+    """Add a computed column and keep the rows where it meets the condition.
+
+    A plain filter on a computed column is pushed below the projection and computes it twice.
+    ``value`` must not be null.
+    """
+    return df.withColumn(out, F.explode_outer(F.filter(F.array(value), condition))).filter(F.col(out).isNotNull())
+
+
+def unnest_map(df: DataFrame, keep, entries: Column, key: str, value: str) -> DataFrame:
+    """``keep`` columns and one row per map entry; see :func:`unnest`."""
+    return df.select(*keep, F.explode_outer(entries).alias(key, value)).filter(F.col(key).isNotNull())
+
+
+def unnest_numbered(df: DataFrame, keep, elements: Column, position: str, name: str) -> DataFrame:
+    """``keep`` columns and one row per array element with its position from 0; see :func:`unnest`."""
+    rows = df.select(*keep, F.posexplode_outer(elements).alias(position, name))
+    return rows.filter(F.col(position).isNotNull())

@@ -120,7 +120,7 @@ def term_counts(tokens: Column) -> Column:
         )
 
     return let(
-        F.array_sort(F.coalesce(tokens, F.array().cast("array<string>"))),
+        F.sort_array(F.coalesce(tokens, F.array().cast("array<string>"))),
         lambda t: F.when(F.size(t) > 0, runs(t)).otherwise(F.array().cast("array<struct<term:string,tf:int>>")),
     )
 

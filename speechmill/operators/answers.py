@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechmill.functions.expr import blank_to_null, join_lines
+from speechmill.functions.expr import blank_to_null, join_lines, unnest, unnest_map, unnest_numbered
 from speechmill.functions.fields import importance, list_or_empty, natural_key, number, parsed, stance
 from speechmill.functions.text import preview
 
@@ -85,13 +85,8 @@ def position_rows(
 ) -> DataFrame:
     """One row per agenda and party named in the answer."""
     rows = answers.select(session, agenda, parsed(F.col(answer), POSITION_ANSWER).alias("a"))
-    return _positions(
-        rows.select(
-            F.col(session).alias("session_name"),
-            F.col(agenda).alias("agenda_title"),
-            F.explode("a.party_positions").alias("party_name", "d"),
-        )
-    )
+    keep = [F.col(session).alias("session_name"), F.col(agenda).alias("agenda_title")]
+    return _positions(unnest_map(rows, keep, F.col("a.party_positions"), "party_name", "d"))
 
 
 def _positions(rows: DataFrame) -> DataFrame:
@@ -253,37 +248,24 @@ def result_documents(doc: DataFrame) -> DataFrame:
 def document_positions(documents: DataFrame) -> DataFrame:
     """Positions out of result documents, whether the agendas are a map or a list."""
     is_list = F.col("party_positions").startswith("[")
-    by_map = (
-        documents.filter(~is_list)
-        .select(
-            "session_name",
-            F.explode(
-                F.from_json("party_positions", f"map<string,struct<party_positions:map<string,{DETAILS}>>>")
-            ).alias("agenda_title", "a"),
-        )
-        .select("session_name", "agenda_title", F.explode("a.party_positions").alias("party_name", "d"))
+    keyed = F.from_json("party_positions", f"map<string,struct<party_positions:map<string,{DETAILS}>>>")
+    agendas = unnest_map(documents.filter(~is_list), ["session_name"], keyed, "agenda_title", "a")
+    by_map = unnest_map(agendas, ["session_name", "agenda_title"], F.col("a.party_positions"), "party_name", "d")
+    array = F.from_json(
+        "party_positions", f"array<struct<agenda_title:string,party_positions:array<{LISTED_POSITION}>>>"
     )
-    listed = (
-        documents.filter(is_list)
-        .select(
-            "session_name",
-            F.explode(
-                F.from_json(
-                    "party_positions", f"array<struct<agenda_title:string,party_positions:array<{LISTED_POSITION}>>>"
-                )
-            ).alias("a"),
-        )
-        .select("session_name", F.col("a.agenda_title").alias("agenda_title"), F.explode("a.party_positions").alias("p"))
-        .select(
-            "session_name",
-            "agenda_title",
-            "p.party_name",
-            F.coalesce("p.stance_label", F.lit("")).alias("stance_label"),
-            list_or_empty(F.col("p.key_points")).alias("key_points"),
-            list_or_empty(F.col("p.concerns")).alias("concerns"),
-            list_or_empty(F.col("p.suggestions")).alias("suggestions"),
-            F.col("p.summary_text").alias("summary_text"),
-        )
+    entries = unnest(documents.filter(is_list), ["session_name"], array, "a")
+    listed = unnest(
+        entries, ["session_name", F.col("a.agenda_title").alias("agenda_title")], F.col("a.party_positions"), "p"
+    ).select(
+        "session_name",
+        "agenda_title",
+        "p.party_name",
+        F.coalesce("p.stance_label", F.lit("")).alias("stance_label"),
+        list_or_empty(F.col("p.key_points")).alias("key_points"),
+        list_or_empty(F.col("p.concerns")).alias("concerns"),
+        list_or_empty(F.col("p.suggestions")).alias("suggestions"),
+        F.col("p.summary_text").alias("summary_text"),
     )
     return _positions(by_map).unionByName(listed)
 
@@ -299,7 +281,7 @@ def tiles(documents: DataFrame) -> DataFrame:
 
 def issue_rows(documents: DataFrame) -> DataFrame:
     """One row per issue with its importance as a number and the parties named."""
-    return documents.select("session_name", F.posexplode("key_issues").alias("pos", "i")).select(
+    return unnest_numbered(documents, ["session_name"], F.col("key_issues"), "pos", "i").select(
         "session_name",
         "pos",
         F.col("i.issue").alias("issue"),
@@ -310,7 +292,7 @@ def issue_rows(documents: DataFrame) -> DataFrame:
 
 
 def concern_counts(documents: DataFrame) -> DataFrame:
-    return documents.select("session_name", F.explode("party_views").alias("party", "v")).select(
+    return unnest_map(documents, ["session_name"], F.col("party_views"), "party", "v").select(
         "session_name",
         "party",
         F.size(list_or_empty(F.col("v.main_concerns"))).alias("concerns"),
@@ -349,13 +331,13 @@ def stance_matrix(positions: DataFrame) -> DataFrame:
 
 
 def conflict_nodes(documents: DataFrame) -> DataFrame:
-    parties = documents.select("session_name", F.explode("major_conflicts").alias("c"))
-    return parties.select("session_name", F.explode("c.parties_involved").alias("party")).distinct()
+    conflicts = unnest(documents, ["session_name"], F.col("major_conflicts"), "c")
+    return unnest(conflicts, ["session_name"], F.col("c.parties_involved"), "party").distinct()
 
 
 def conflict_edges(documents: DataFrame) -> DataFrame:
     """First two parties of each conflict."""
-    return documents.select("session_name", F.explode("major_conflicts").alias("c")).select(
+    return unnest(documents, ["session_name"], F.col("major_conflicts"), "c").select(
         "session_name",
         F.get("c.parties_involved", F.lit(0)).alias("source"),
         F.get("c.parties_involved", F.lit(1)).alias("target"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from speechmill.functions.expr import join_lines, let
+from speechmill.functions.expr import join_lines, let, unnest_numbered
 from speechmill.functions.fields import natural_key
 from speechmill.functions.text import strip
 
@@ -36,7 +36,7 @@ def chunk_rows(
 ) -> DataFrame:
     """One row per chunk: source, index from 0, record id, content and metadata."""
     keep = [source_id] + ([metadata] if metadata else [])
-    return df.select(*keep, F.posexplode(chunk_array(F.col(text), size, overlap)).alias("chunk_index", "content")).withColumn(
+    return unnest_numbered(df, keep, chunk_array(F.col(text), size, overlap), "chunk_index", "content").withColumn(
         "record_id", F.concat_ws(":", F.col(source_id).cast("string"), F.col("chunk_index").cast("string"))
     )
 

@@ -135,11 +135,11 @@ def agenda_sample(
 def agenda_payload(sample: DataFrame, session: str, agenda: str, party: str, text: str, cut: int = 400) -> DataFrame:
     """One row per agenda with its party samples as a map of lists."""
     lists = sample.groupBy(session, agenda, "agenda_rank", "agenda_speeches", party).agg(
-        F.array_sort(F.collect_list(F.struct("sample_rank", F.substring(text, 1, cut).alias("text")))).alias("_s")
+        F.sort_array(F.collect_list(F.struct("sample_rank", F.substring(text, 1, cut).alias("text")))).alias("_s")
     )
     return lists.groupBy(session, agenda, "agenda_rank", "agenda_speeches").agg(
         F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct(F.col(party), F.transform("_s", lambda s: s["text"]))))
+            F.sort_array(F.collect_list(F.struct(F.col(party), F.transform("_s", lambda s: s["text"]))))
         ).alias("party_speeches")
     )
 
@@ -153,7 +153,7 @@ def ranked_lines(counted: DataFrame, by: Sequence[str], label: str, n: str, k: i
     line = F.concat(F.lit("- "), F.col(label), F.lit(": "), F.col(n).cast("string"), F.lit(unit))
     return (
         ranked.groupBy(*by)
-        .agg(F.array_sort(F.collect_list(F.struct("_rank", line.alias("line")))).alias("_lines"))
+        .agg(F.sort_array(F.collect_list(F.struct("_rank", line.alias("line")))).alias("_lines"))
         .select(*by, F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias(out))
     )
 
@@ -183,7 +183,7 @@ def session_prompt(
     )
     samples = (
         sample.groupBy(session)
-        .agg(F.array_sort(F.collect_list(F.struct("sample_no", entry.alias("entry")))).alias("_e"))
+        .agg(F.sort_array(F.collect_list(F.struct("sample_no", entry.alias("entry")))).alias("_e"))
         .select(
             session,
             F.size("_e").alias("sampled"),
@@ -243,7 +243,7 @@ def qa_prompt(pairs: DataFrame, session: str = "session_name", k: int = 10, inst
     )
     return (
         first.groupBy(session)
-        .agg(F.array_sort(F.collect_list(F.struct("pair_no", entry.alias("entry")))).alias("_e"))
+        .agg(F.sort_array(F.collect_list(F.struct("pair_no", entry.alias("entry")))).alias("_e"))
         .select(
             session,
             join_lines(

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from speechmill import values
-from speechmill.functions.expr import let, text_array
+from speechmill.functions.expr import computed_if, let, text_array
 from speechmill.functions.text import strip
 from speechmill.operators.lexicon import Lexicon, found_keywords
 
@@ -62,8 +62,9 @@ def is_substantive(text: Column, min_length: int = 30) -> Column:
     return F.length(strip(F.coalesce(text, F.lit("")))) >= min_length
 
 
-def longer_than(text: Column, n: int) -> Column:
-    return F.length(text) > n
+def cleaned_longer_than(df: DataFrame, out: str, cleaned: Column, n: int) -> DataFrame:
+    """Add the cleaned text and keep the rows where it has more than ``n`` characters."""
+    return computed_if(df, out, cleaned, lambda t: F.length(t) > n)
 
 
 def is_named_group(group: Column, skip: Sequence[str] = (values.NO_PARTY,)) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speechmill import values
-from speechmill.functions.expr import let, text_array
+from speechmill.functions.expr import let, text_array, unnest
 from speechmill.functions.text import preview
 
 # Above this many distinct keywords one automaton pass beats one containment test per keyword.
@@ -226,7 +226,7 @@ def topic_examples(
     work to those pairs. The rank filter is applied per task before the shuffle, so a group that
     holds most of the table sends ``n`` rows per task only.
     """
-    rows = df.select(group, *dict.fromkeys([*order, *carry]), F.inline("matches"))
+    rows = unnest(df, [group, *dict.fromkeys([*order, *carry])], F.col("matches"))
     if top is not None:
         rows = rows.join(top.select(group, "topic"), [group, "topic"], "left_semi")
     window = Window.partitionBy(group, "topic").orderBy(*order)
@@ -241,4 +241,4 @@ def issue_mentions(df: DataFrame, issues: Lexicon, text: str, carry: Sequence[st
     """One row per speech and issue for which any keyword is contained; case is significant."""
     lexicon = replace(issues, fold_case=False)
     hits = topic_matches(F.col(text), lexicon)
-    return df.select(*carry, F.explode(F.transform(hits, lambda h: h["topic"])).alias("issue"))
+    return unnest(df, carry, F.transform(hits, lambda h: h["topic"]), "issue")

@@ -14,7 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from speechmill import values
-from speechmill.functions.expr import blank_to_null
+from speechmill.functions.expr import blank_to_null, unnest, unnest_numbered
 from speechmill.functions.text import markup_text, squeeze, strip
 
 
@@ -103,7 +103,7 @@ def header_rows(headers: DataFrame, markup: Markup = Markup(), page: str = "page
     )
     for label, pattern in markup.sections:
         items = F.concat(items, _listed_items(_first(F.col(html), pattern), label, markup.list_item))
-    return headers.select(page, *HEADER_COLUMNS, F.inline(items))
+    return unnest(headers, [page, *HEADER_COLUMNS], items)
 
 
 def body_markers(pages: DataFrame, markup: Markup = Markup(), page: str = "page_id", html: str = "html") -> DataFrame:
@@ -113,7 +113,7 @@ def body_markers(pages: DataFrame, markup: Markup = Markup(), page: str = "page_
     bars; ``element`` counts the elements opened before the marker.
     """
     cut = f"(?=(?:{markup.speaker})|(?:{markup.bar})|(?:{markup.time}))"
-    pieces = pages.select(page, F.posexplode(F.split(html, cut)).alias("pos", "piece"))
+    pieces = unnest_numbered(pages, [page], F.split(html, cut), "pos", "piece")
     kind = (
         F.when(F.col("piece").rlike(f"^(?:{markup.speaker})"), "speaker")
         .when(F.col("piece").rlike(f"^(?:{markup.bar})"), "bar")
@@ -157,7 +157,7 @@ def _stretches(markers: DataFrame, markup: Markup, page: str, reach: int) -> Dat
         markers.withColumn("_next_time", next_time)
         .groupBy(page, "speakers_before")
         .agg(
-            F.array_sort(F.collect_list(F.when(F.col("kind") == "bar", bar))).alias("_bars"),
+            F.sort_array(F.collect_list(F.when(F.col("kind") == "bar", bar))).alias("_bars"),
             F.max(F.when(F.col("kind") == "speaker", F.col("piece"))).alias("piece"),
         )
         .select(

@@ -169,7 +169,7 @@ def dense_series(party_monthly: DataFrame, party: str, month: str, top: DataFram
     The list of months is one array computed once as a scalar subquery, and each (party, topic)
     row explodes it, so no cross join is planned.
     """
-    every = months.agg(F.array_sort(F.collect_set(month)).alias("months")).scalar()
+    every = months.agg(F.sort_array(F.collect_set(month)).alias("months")).scalar()
     grid = top.select(party, "topic").withColumn(month, F.explode(every))
     return grid.join(party_monthly.select(party, "topic", month, "score"), [party, "topic", month], "left").withColumn(
         "score", F.coalesce("score", F.lit(0.0))

@@ -80,7 +80,7 @@ def issue_trend(mentions: DataFrame, by: Sequence[str] = ("session_name", "issue
         per_speaker.withColumn("rn", F.row_number().over(rank))
         .filter(F.col("rn") <= speakers)
         .groupBy(*by)
-        .agg(F.array_sort(F.collect_list(F.struct("rn", "speaker_name"))).alias("top"))
+        .agg(F.sort_array(F.collect_list(F.struct("rn", "speaker_name"))).alias("top"))
         .select(*by, F.array_join(F.transform("top", lambda s: s["speaker_name"]), ", ").alias("notes"))
     )
     return totals.join(notes, by)

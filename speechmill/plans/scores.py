@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from speechmill.functions import fields
+from speechmill.functions.expr import unnest
 from speechmill.operators import lexicon as lx
 from speechmill.operators import rollups, sentiment
 from speechmill.plans import dataset as ds
@@ -43,7 +44,7 @@ def group_rank_in_topic(spark, sf):
 
 
 def topic_matches(spark, sf):
-    df = ds.texts(spark, sf).select("speech_key", F.inline(lx.topic_matches(F.col("speech_text"), ds.TOPICS)))
+    df = unnest(ds.texts(spark, sf), ["speech_key"], lx.topic_matches(F.col("speech_text"), ds.TOPICS))
     return df.select("speech_key", "topic", F.size("matched").alias("n"), F.array_join("matched", ",").alias("matched"))
 
 

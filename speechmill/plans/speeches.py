@@ -62,13 +62,12 @@ def procedural_removal(spark, sf):
 
 def conversation_texts(spark, sf):
     cleaned = text.conversation_clean(F.col("speech_text"), ds.FILLERS)
-    df = ds.texts(spark, sf).select("speech_key", cleaned.alias("c")).filter(filters.longer_than(F.col("c"), 20))
-    return fingerprint(df, F.col("c"))
+    return fingerprint(filters.cleaned_longer_than(ds.texts(spark, sf), "c", cleaned, 20), F.col("c"))
 
 
 def plain_texts(spark, sf):
-    df = ds.texts(spark, sf).select("speech_key", text.plain_clean(F.col("speech_text")).alias("c"))
-    return fingerprint(df.filter(filters.longer_than(F.col("c"), 50)), F.col("c"))
+    cleaned = text.plain_clean(F.col("speech_text"))
+    return fingerprint(filters.cleaned_longer_than(ds.texts(spark, sf), "c", cleaned, 50), F.col("c"))
 
 
 def previews(spark, sf):
@@ -225,10 +224,10 @@ def agenda_party_grid(spark, sf):
 
 def speaking_patterns(spark, sf):
     """Sums, mean lengths and ratios per named party with at least ten cleaned speeches."""
-    cleaned = ds.texts(spark, sf).select(
-        "speech_key", text.conversation_clean(F.col("speech_text"), ds.FILLERS).alias("c")
+    cleaned = filters.cleaned_longer_than(
+        ds.texts(spark, sf), "c", text.conversation_clean(F.col("speech_text"), ds.FILLERS), 20
     )
-    small = cleaned.filter(filters.longer_than(F.col("c"), 20)).select(
+    small = cleaned.select(
         "speech_key", patterns.speech_patterns(F.col("c"), ds.FILLERS).alias("patterns")
     )
     rows = ds.with_speaker(small, spark, sf).filter(filters.is_named_group(F.col("party")))

@@ -44,7 +44,7 @@ def agenda_answers(spark, sf):
     listed = party_facts(spark, sf).select("session_name", "agenda_title", "party", "n", details().alias("d"))
     grouped = listed.groupBy("session_name", "agenda_title").agg(
         F.sum("n").alias("n"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("party", "d")))).alias("party_positions"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("party", "d")))).alias("party_positions"),
     )
     body = F.struct(
         "party_positions",
@@ -69,7 +69,7 @@ def summary_parts(spark, sf):
     facts = speech_facts(spark, sf)
     top = dialogue.leading_agendas(facts, agenda="agenda_title", k=4)
     issues = top.groupBy("session_name").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(
                 F.struct(
                     "agenda_rank",
@@ -92,8 +92,8 @@ def summary_parts(spark, sf):
     )
     views = parties.groupBy("session_name", "session").agg(
         F.sum("n").alias("n"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("party", view)))).alias("views"),
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "party"))).alias("ranked"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("party", view)))).alias("views"),
+        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "party"))).alias("ranked"),
     )
     conflict = F.struct(
         F.lit("who speaks").alias("topic"),
@@ -129,10 +129,10 @@ def documents(spark, sf):
     parts = summary_parts(spark, sf)
     facts = party_facts(spark, sf).select("session_name", "agenda_title", "party", details().alias("d"))
     per_agenda = facts.groupBy("session_name", "agenda_title").agg(
-        F.array_sort(F.collect_list(F.struct("party", "d"))).alias("p")
+        F.sort_array(F.collect_list(F.struct("party", "d"))).alias("p")
     )
     per_session = per_agenda.groupBy("session_name").agg(
-        F.array_sort(F.collect_list(F.struct("agenda_title", "p"))).alias("a")
+        F.sort_array(F.collect_list(F.struct("agenda_title", "p"))).alias("a")
     )
     as_map = F.map_from_entries(
         F.transform(

@@ -109,7 +109,7 @@ def nearest_to_labels(spark, sf):
         .groupBy("label", "pos")
         .agg(F.avg(F.col("x").cast("double")).alias("x"))
         .groupBy("label")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("embedding"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("embedding"))
     )
     found = incremental.nearest(e, incremental.query_list(means, "label"), "vec_id", k=5)
     return found.select(F.col("query").alias("label"), "vec_id", r("similarity"), "rank")
