@@ -125,11 +125,14 @@ def agenda_sample(
     per_party: int = 5,
     seed: int = 42,
 ) -> DataFrame:
-    """Sampled speeches per leading agenda and party."""
-    chosen = df.filter(F.col(party).isNotNull()).join(
+    """Sampled speeches per leading agenda and party.
+
+    Every agenda is sampled, which reduces it inside the tasks, and only the samples are joined.
+    """
+    picked = stratified_sample(df.filter(F.col(party).isNotNull()), [session, agenda, party], key, per_party, seed)
+    return picked.join(
         agendas.select(session, agenda, "agenda_rank", F.col("speeches").alias("agenda_speeches")), [session, agenda]
     )
-    return stratified_sample(chosen, [session, agenda, party], key, per_party, seed)
 
 
 def agenda_payload(sample: DataFrame, session: str, agenda: str, party: str, text: str, cut: int = 400) -> DataFrame:

@@ -222,15 +222,16 @@ def topic_examples(
 ) -> DataFrame:
     """First ``n`` matching speeches of each group and topic.
 
-    ``df`` has a ``matches`` column from :func:`topic_matches`. ``top`` (group, topic) limits the
-    work to those pairs. The rank filter is applied per task before the shuffle, so a group that
-    holds most of the table sends ``n`` rows per task only.
+    ``df`` has a ``matches`` column from :func:`topic_matches`. The rank filter is applied per
+    task before the shuffle, so a group that holds most of the table sends ``n`` rows per task and
+    topic only. ``top`` (group, topic) keeps those pairs and is joined to what is left.
     """
     rows = unnest(df, [group, *dict.fromkeys([*order, *carry])], F.col("matches"))
-    if top is not None:
-        rows = rows.join(top.select(group, "topic"), [group, "topic"], "left_semi")
     window = Window.partitionBy(group, "topic").orderBy(*order)
-    return rows.withColumn("example", F.row_number().over(window)).filter(F.col("example") <= n)
+    first = rows.withColumn("example", F.row_number().over(window)).filter(F.col("example") <= n)
+    if top is None:
+        return first
+    return first.join(top.select(group, "topic"), [group, "topic"], "left_semi")
 
 
 def example_preview(text: Column) -> Column:

@@ -13,6 +13,11 @@ from speechmill.functions.fields import session_number
 from speechmill.operators.lexicon import Lexicon, topic_columns, topic_measures, with_scores
 
 
+# Up to this rank Spark limits ranked groups inside each task (its windowGroupLimitThreshold).
+TASK_LIMIT = 1000
+SPLITS = 64
+
+
 def attach_group(df: DataFrame, dimension: DataFrame, key: str, group: str, default: str = values.NO_PARTY) -> DataFrame:
     """Left join to a dimension with one row per key; keys it lacks get ``default``.
 
@@ -38,8 +43,17 @@ def area_matrix(df: DataFrame, session: str, area: str, areas: Sequence[str]) ->
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows of each group; the limit is applied per task before the shuffle."""
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
+    """First ``k`` rows of each group.
+
+    Up to a thousand rows Spark applies the limit inside every task before the shuffle. A longer
+    list is first ranked in ``SPLITS`` parts of each group, so that no task sorts a whole group.
+    """
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    if k > TASK_LIMIT:
+        part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c not in by]), F.lit(SPLITS))
+        within = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+        df = df.withColumn("_part", part).withColumn(rank, within).filter(F.col(rank) <= k).drop("_part", rank)
+    return df.withColumn(rank, first).filter(F.col(rank) <= k)
 
 
 def top_topics(scores: DataFrame, group: Sequence[str], k: int = 5) -> DataFrame:
@@ -63,6 +77,12 @@ def peak(df: DataFrame, by: str, at: str, value: str) -> DataFrame:
     )
 
 
+def leading_peaks(cells: DataFrame, by: str, at: str, value: str, k: int) -> DataFrame:
+    """Peaks of the ``k`` values of ``by`` with the largest totals."""
+    totals = cells.groupBy(by).agg(F.sum(value).alias("total")).orderBy(F.desc("total"), F.asc(by)).limit(k)
+    return peak(cells, by, at, value).join(totals, by, "left_semi")
+
+
 def leading_values(df: DataFrame, by: str, k: int) -> DataFrame:
     """The ``k`` most frequent values, ties by value."""
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(by)).limit(k)
@@ -163,16 +183,21 @@ def mean_topics(party_monthly: DataFrame, party: str, k: int) -> DataFrame:
     return top_k(means, [party], [F.desc(F.round("mean_score", 9)), F.asc("topic_ord")], k)
 
 
-def dense_series(party_monthly: DataFrame, party: str, month: str, top: DataFrame, months: DataFrame) -> DataFrame:
-    """Monthly scores of each party's top topics, months without the party 0.
+def dense_series(party_monthly: DataFrame, party: str, month: str, months: DataFrame, k: int = 3) -> DataFrame:
+    """Monthly scores of each party's ``k`` leading topics, months without the party 0.
 
-    The list of months is one array computed once as a scalar subquery, and each (party, topic)
-    row explodes it, so no cross join is planned.
+    A party's scores of a topic become one small map, so the scores are computed once for the
+    ranking and for the series. The list of months is an array from a scalar subquery that each
+    row explodes; no cross join is planned.
     """
-    every = months.agg(F.sort_array(F.collect_set(month)).alias("months")).scalar()
-    grid = top.select(party, "topic").withColumn(month, F.explode(every))
-    return grid.join(party_monthly.select(party, "topic", month, "score"), [party, "topic", month], "left").withColumn(
-        "score", F.coalesce("score", F.lit(0.0))
+    per_topic = party_monthly.groupBy(party, "topic", "topic_ord").agg(
+        F.avg("score").alias("mean_score"),
+        F.map_from_entries(F.collect_list(F.struct(month, "score"))).alias("_by_month"),
+    )
+    top = top_k(per_topic, [party], [F.desc(F.round("mean_score", 9)), F.asc("topic_ord")], k)
+    every = months.filter(F.col(month).isNotNull()).agg(F.collect_set(month).alias("months")).scalar()
+    return top.select(party, "topic", "_by_month", F.explode(every).alias(month)).select(
+        party, "topic", month, F.coalesce(F.try_element_at("_by_month", F.col(month)), F.lit(0.0)).alias("score")
     )
 
 

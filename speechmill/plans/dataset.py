@@ -89,7 +89,12 @@ def speakers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def with_speaker(df: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
-    return df.join(speakers(spark, sf), "speech_key")
+    """Join the speaker by the speech's key.
+
+    Both sides grow with the data, so neither is broadcast; the narrow side is the one hashed, and
+    the wide one needs no sort.
+    """
+    return df.join(speakers(spark, sf).hint("shuffle_hash"), "speech_key")
 
 
 def dialogue(spark: SparkSession, sf: str) -> DataFrame:

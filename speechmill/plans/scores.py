@@ -122,9 +122,8 @@ def party_topic_means(spark, sf):
 
 
 def party_month_series(spark, sf):
-    cells = party_monthly(spark, sf)
-    top = rollups.mean_topics(cells, "party", 3)
-    return rollups.dense_series(cells, "party", "month", top, monthly(spark, sf)).select(
+    months = ds.texts(spark, sf).select(fields.month(fields.korean_date(F.col("date"))).alias("month"))
+    return rollups.dense_series(party_monthly(spark, sf), "party", "month", months).select(
         "party", "topic", "month", r("score")
     )
 

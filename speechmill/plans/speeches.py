@@ -190,9 +190,8 @@ def area_totals(spark, sf):
 
 def peak_sessions(spark, sf):
     """Session where each of the five leading areas peaks."""
-    rows = classified(spark, sf).select("area", "session").withColumn("one", F.lit(1))
-    leading = rollups.leading_values(rows, "area", 5)
-    return rollups.peak(rows.join(leading, "area", "left_semi"), "area", "session", "one")
+    cells = classified(spark, sf).groupBy("area", "session").agg(F.count(F.lit(1)).alias("speeches"))
+    return rollups.leading_peaks(cells, "area", "session", "speeches", 5)
 
 
 def area_cohorts(spark, sf):
