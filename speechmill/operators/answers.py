@@ -6,7 +6,7 @@ time are read through one schema that holds both and coalesced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechmill.functions.expr import blank_to_null, join_lines, unnest, unnest_map, unnest_numbered
@@ -280,7 +280,8 @@ def tiles(documents: DataFrame) -> DataFrame:
 
 
 def issue_rows(documents: DataFrame) -> DataFrame:
-    """One row per issue with its importance as a number and the parties named."""
+    """One row per issue: importance as a number, its rank in the session, the parties named."""
+    rank = F.row_number().over(Window.partitionBy("session_name").orderBy(F.desc("importance"), F.asc("pos")))
     return unnest_numbered(documents, ["session_name"], F.col("key_issues"), "pos", "i").select(
         "session_name",
         "pos",
@@ -288,16 +289,18 @@ def issue_rows(documents: DataFrame) -> DataFrame:
         importance(F.col("i.importance")).alias("importance"),
         F.col("i.description").alias("description"),
         list_or_empty(F.col("i.mentioned_parties")).alias("parties"),
-    )
+    ).withColumn("rank", rank)
 
 
 def concern_counts(documents: DataFrame) -> DataFrame:
+    """Concerns per party and the party's rank in the session."""
+    rank = F.row_number().over(Window.partitionBy("session_name").orderBy(F.desc("concerns"), F.asc("party")))
     return unnest_map(documents, ["session_name"], F.col("party_views"), "party", "v").select(
         "session_name",
         "party",
         F.size(list_or_empty(F.col("v.main_concerns"))).alias("concerns"),
         F.coalesce("v.stance", F.lit("")).alias("stance"),
-    )
+    ).withColumn("rank", rank)
 
 
 def shares(documents: DataFrame, column: str, labels: tuple[str, ...]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
@@ -13,6 +14,11 @@ from speechmill.operators.rollups import top_k
 from speechmill.session import broadcast_if_small
 
 
+def run_version(at: datetime) -> str:
+    """Version text of a run. The caller fixes the time, so that a repeated run keeps its version."""
+    return at.strftime("analysis-%Y%m%d%H%M%S")
+
+
 def row_hash(columns: Sequence[str]) -> Column:
     """SHA-256 of a row's columns in name order, nulls told apart from empty text."""
     parts = []

@@ -38,11 +38,10 @@ def sentiment(text: Column, lexicon: Lexicon, matcher: str = "auto") -> Column:
 def label_distribution(df: DataFrame, by: Sequence[str] = (), label: str = "label", more_than: int = 0) -> DataFrame:
     """Rows and share per label, over everything or per group of more than ``more_than`` rows."""
     counted = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("speeches"))
-    totals = counted.groupBy(*by).agg(F.sum("speeches").alias("group_speeches"))
-    joined = counted.join(totals, list(by)) if by else counted.withColumn(
-        "group_speeches", F.sum("speeches").over(Window.partitionBy(F.lit(1)))
-    )
-    return joined.filter(F.col("group_speeches") > more_than).select(
+    # The window sees one row per group and label.
+    scope = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    totalled = counted.withColumn("group_speeches", F.sum("speeches").over(scope))
+    return totalled.filter(F.col("group_speeches") > more_than).select(
         *by, label, "speeches", (F.col("speeches") / F.col("group_speeches") * 100).alias("share_pct")
     )
 

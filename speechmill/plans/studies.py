@@ -314,7 +314,7 @@ def document_tiles(spark, sf):
 def document_issues(spark, sf):
     """Issues by importance, most important first inside a session."""
     return answers.issue_rows(documents(spark, sf)).select(
-        "session_name", "pos", "issue", "importance", "description", F.array_join("parties", ",").alias("parties")
+        "session_name", "pos", "issue", "importance", "description", F.array_join("parties", ",").alias("parties"), "rank"
     )
 
 
@@ -423,8 +423,10 @@ FROM pairs GROUP BY session_name""",
     "document_tiles": f"""{_SUM} SELECT t.session_name, n AS total_speeches, n - 1 AS quality_speeches,
   (SELECT count(*) FROM iss i WHERE i.session_name = t.session_name) AS issues, n AS qa_pairs FROM tot t""",
     "document_issues": f"""{_SUM} SELECT session_name, rk - 1 AS pos, issue, CASE rk WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 2 END AS importance,
-  n || ' speeches' AS description, CASE WHEN rk < 3 THEN 'party_1,party_2' ELSE '' END AS parties FROM iss""",
-    "concern_counts": f"{_SUM} SELECT session_name, party, n % 3 AS concerns, CASE WHEN n % 2 = 0 THEN '비판적' ELSE '' END AS stance FROM pv",
+  n || ' speeches' AS description, CASE WHEN rk < 3 THEN 'party_1,party_2' ELSE '' END AS parties,
+  row_number() OVER (PARTITION BY session_name ORDER BY importance DESC, rk) AS rank FROM iss""",
+    "concern_counts": f"""{_SUM} SELECT session_name, party, n % 3 AS concerns, CASE WHEN n % 2 = 0 THEN '비판적' ELSE '' END AS stance,
+  row_number() OVER (PARTITION BY session_name ORDER BY n % 3 DESC, party) AS rank FROM pv""",
     "quality_shares": f"""{_SUM}, v AS (SELECT session_name, unnest(['high', 'medium', 'low', 'policy_inquiry', 'fact_checking', 'criticism', 'suggestion']) AS label, n FROM tot)
 SELECT session_name, label, CAST(CASE WHEN label IN ('high', 'suggestion') THEN n % 100 WHEN label = 'medium' THEN n % 7 ELSE 0 END AS DOUBLE) AS value FROM v""",
     "stance_matrix": f"""{_POS}, p AS (SELECT DISTINCT session_name, party_name FROM pos)
