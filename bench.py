@@ -40,12 +40,12 @@ def main(names):
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
     queries = all_queries()
-    seconds = {}
-    for name in names or HEADLINE:
-        # The first runs pay for class loading, code generation and just-in-time compilation.
-        seconds[name] = round(min(timed(spark, queries[name], sf) for _ in range(3)), 3)
-        if names:
-            print(name, seconds[name], file=sys.stderr, flush=True)
+    names = names or HEADLINE
+    seconds = {name: float("inf") for name in names}
+    # The first round pays for class loading, code generation and just-in-time compilation.
+    for _ in range(3):
+        for name in names:
+            seconds[name] = min(seconds[name], round(timed(spark, queries[name], sf), 3))
     spark.stop()
     print(json.dumps({"metric": "total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": sf}))
 
