@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from speechmill import values
 from speechmill.functions.expr import join_lines, let, unnest_numbered
 from speechmill.functions.fields import natural_key
 from speechmill.functions.text import strip
 
+LABEL = values.DOCUMENT
+
 
 def chunk_array(text: Column, size: int = 800, overlap: int = 100) -> Column:
     """Pieces of ``size`` characters, each starting ``size - overlap`` after the one before.
@@ -47,7 +50,7 @@ def _metadata(**fields: Column | str) -> Column:
 
 
 def _section(title: str, lines: Column) -> Column:
-    return F.when(F.size(lines) > 0, F.concat(F.lit(title), F.array_join(lines, "\n")))
+    return F.when(F.size(lines) > 0, F.concat(F.lit(title + "\n"), F.array_join(lines, "\n")))
 
 
 def _text(value: Column) -> Column:
@@ -65,22 +68,22 @@ def summary_documents(summaries: DataFrame) -> DataFrame:
     conflicts = F.transform(
         "major_conflicts",
         lambda c: F.concat(
-            F.lit("- "), _text(c["topic"]), F.lit(" / 참여 정당: "), F.array_join(c["parties_involved"], ", ")
+            F.lit("- "), _text(c["topic"]), F.lit(LABEL["parties"]), F.array_join(c["parties_involved"], ", ")
         ),
     )
     events = F.transform(
         "key_events",
         lambda e: F.concat(
-            F.lit("- "), _text(e["event"]), F.lit(" : "), _text(e["description"]), F.lit(" / 대응 "), _text(e["response"])
+            F.lit("- "), _text(e["event"]), F.lit(" : "), _text(e["description"]), F.lit(LABEL["response"]), _text(e["response"])
         ),
     )
     return summaries.select(
         F.concat(F.lit("session::"), F.col("session_name")).alias("source_id"),
         join_lines(
             F.col("raw_summary"),
-            _section("핵심 이슈 요약:\n", issues),
-            _section("주요 쟁점:\n", conflicts),
-            _section("주요 사건:\n", events),
+            _section(LABEL["issues"], issues),
+            _section(LABEL["conflicts"], conflicts),
+            _section(LABEL["events"], events),
         ).alias("text"),
         _metadata(source_type="session_summary", session_name=F.col("session_name")),
     )
@@ -92,22 +95,22 @@ def position_documents(positions: DataFrame, agenda_ids: DataFrame) -> DataFrame
         agenda_ids.select("session_name", "agenda_title", "agenda_id"), ["session_name", "agenda_title"], "left"
     )
 
-    def bullets(title: str, items: str) -> Column:
-        return _section(title + ":\n", F.transform(items, lambda p: F.concat(F.lit("- "), p)))
+    def bullets(items: str) -> Column:
+        return _section(LABEL[items], F.transform(items, lambda p: F.concat(F.lit("- "), p)))
 
     return rows.select(
         F.concat_ws(
             "::", F.lit("session"), "session_name", F.lit("agenda"), "agenda_title", F.lit("party"), "party_name"
         ).alias("source_id"),
         join_lines(
-            F.concat(F.lit("[안건] "), F.col("agenda_title")),
-            F.concat(F.lit("[정당] "), F.col("party_name")),
-            F.concat(F.lit("[입장] "), _text(F.col("stance_label"))),
+            F.concat(F.lit(LABEL["agenda"]), F.col("agenda_title")),
+            F.concat(F.lit(LABEL["party"]), F.col("party_name")),
+            F.concat(F.lit(LABEL["stance"]), _text(F.col("stance_label"))),
             F.col("summary_text"),
             join_lines(
-                bullets("주요 포인트", "key_points"),
-                bullets("우려 사항", "concerns"),
-                bullets("제안 사항", "suggestions"),
+                bullets("key_points"),
+                bullets("concerns"),
+                bullets("suggestions"),
                 sep="\n\n",
             ),
         ).alias("text"),
@@ -157,8 +160,8 @@ def qa_documents(pairs: DataFrame, agenda_ids: DataFrame) -> DataFrame:
             "source_id"
         ),
         F.concat(
-            F.lit("[질문자] "), who("question"), F.lit("\n[질문]\n"), F.col("question"),
-            F.lit("\n\n[답변자] "), who("answer"), F.lit("\n[답변]\n"), F.col("answer"),
+            F.lit(LABEL["questioner"]), who("question"), F.lit(f"\n{LABEL['question']}\n"), F.col("question"),
+            F.lit(f"\n\n{LABEL['respondent']}"), who("answer"), F.lit(f"\n{LABEL['answer']}\n"), F.col("answer"),
         ).alias("text"),
         _metadata(
             source_type="qa_pair",

@@ -12,6 +12,8 @@ from speechmill import values
 from speechmill.functions.expr import join_lines, text_array
 from speechmill.operators.rollups import top_k
 
+LABEL = values.PROMPT
+
 
 def contains_any(text: Column, markers: Sequence[str]) -> Column:
     return F.exists(text_array(markers), lambda m: F.contains(text, m))
@@ -181,8 +183,8 @@ def session_prompt(
     agendas = df.filter(F.trim(agenda) != "").groupBy(session, agenda).agg(F.count(F.lit(1)).alias("n"))
     parties = df.filter(F.col(party).isNotNull()).groupBy(session, party).agg(F.count(F.lit(1)).alias("n"))
     entry = F.concat(
-        F.lit("["), F.col("sample_no").cast("string"), F.lit("] 정당: "), F.col(party), F.lit(", 발언자: "),
-        F.col(speaker), F.lit("\n발언: "), F.substring(text, 1, cut),
+        F.lit("["), F.col("sample_no").cast("string"), F.lit(LABEL["sample_party"]), F.col(party),
+        F.lit(LABEL["sample_speaker"]), F.col(speaker), F.lit("\n" + LABEL["sample_text"]), F.substring(text, 1, cut),
     )
     samples = (
         sample.groupBy(session)
@@ -194,19 +196,23 @@ def session_prompt(
         )
     )
     blocks = (
-        totals.join(ranked_lines(agendas, [session], agenda, "n", 10, "agenda_text", "개 발언"), session, "left")
-        .join(ranked_lines(parties, [session], party, "n", None, "party_text", "개 발언"), session, "left")
+        totals.join(ranked_lines(agendas, [session], agenda, "n", 10, "agenda_text", LABEL["speeches"]), session, "left")
+        .join(ranked_lines(parties, [session], party, "n", None, "party_text", LABEL["speeches"]), session, "left")
         .join(samples, session, "left")
     )
     prompt = join_lines(
-        F.concat(F.lit("=== 회차 정보 ===\n회차: "), F.col(session)),
+        F.lit(LABEL["session"]),
+        F.concat(F.lit(LABEL["session_name"]), F.col(session)),
         F.concat(
-            F.lit("총 발언 수: "), F.col("total").cast("string"), F.lit("개 (전체의 대표 샘플: "),
-            F.coalesce("sampled", F.lit(0)).cast("string"), F.lit("개)\n"),
+            F.lit(LABEL["total"]), F.col("total").cast("string"), F.lit(LABEL["sampled"]),
+            F.coalesce("sampled", F.lit(0)).cast("string"), F.lit(LABEL["count_end"] + "\n"),
         ),
-        F.concat(F.lit("=== 안건 통계 ===\n"), F.coalesce("agenda_text", F.lit("안건 정보 없음")), F.lit("\n")),
-        F.concat(F.lit("=== 정당별 발언 통계 ===\n"), F.coalesce("party_text", F.lit("")), F.lit("\n")),
-        F.concat(F.lit("=== 대표 발언 샘플 ===\n"), F.coalesce("sample_text", F.lit(""))),
+        F.lit(LABEL["agendas"]),
+        F.concat(F.coalesce("agenda_text", F.lit(LABEL["no_agendas"])), F.lit("\n")),
+        F.lit(LABEL["parties"]),
+        F.concat(F.coalesce("party_text", F.lit("")), F.lit("\n")),
+        F.lit(LABEL["samples"]),
+        F.coalesce("sample_text", F.lit("")),
         F.lit(instructions),
     )
     return blocks.select(session, prompt.alias("prompt"))
@@ -217,17 +223,17 @@ def agenda_prompt(payload: DataFrame, session: str, agenda: str, instructions: s
     sections = F.transform(
         F.map_entries("party_speeches"),
         lambda e: F.concat(
-            F.lit("[정당: "), e["key"], F.lit("]\n"),
+            F.lit(LABEL["party"]), e["key"], F.lit("]\n"),
             F.array_join(
                 F.transform(e["value"], lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t)), "\n"
             ),
         ),
     )
     prompt = join_lines(
-        F.lit("=== 안건 정보 ==="),
-        F.concat(F.lit("안건명: "), F.col(agenda)),
-        F.concat(F.lit("총 발언 수: "), F.col("agenda_speeches").cast("string"), F.lit("개\n")),
-        F.lit("=== 정당별 발언 샘플 ==="),
+        F.lit(LABEL["agenda"]),
+        F.concat(F.lit(LABEL["agenda_name"]), F.col(agenda)),
+        F.concat(F.lit(LABEL["total"]), F.col("agenda_speeches").cast("string"), F.lit(LABEL["count"] + "\n")),
+        F.lit(LABEL["party_samples"]),
         F.array_join(sections, "\n\n"),
         F.lit(instructions),
     )
@@ -238,11 +244,11 @@ def qa_prompt(pairs: DataFrame, session: str = "session_name", k: int = 10, inst
     """Text block per session from its first question-answer pairs."""
     first = top_k(pairs, [session], [F.col("question_file"), F.col("question_order")], k, "pair_no")
     entry = F.concat(
-        F.lit("[질의-응답 "), F.col("pair_no").cast("string"),
-        F.lit("]\n질문자 ("), F.col("question_party"), F.lit("): "), F.col("question_speaker_name"),
-        F.lit("\n질문: "), F.col("question"),
-        F.lit("\n답변자 ("), F.col("answer_party"), F.lit("): "), F.col("answer_speaker_name"),
-        F.lit("\n답변: "), F.col("answer"),
+        F.lit(LABEL["pair"]), F.col("pair_no").cast("string"),
+        F.lit("]\n" + LABEL["questioner"]), F.col("question_party"), F.lit("): "), F.col("question_speaker_name"),
+        F.lit("\n" + LABEL["question"]), F.col("question"),
+        F.lit("\n" + LABEL["respondent"]), F.col("answer_party"), F.lit("): "), F.col("answer_speaker_name"),
+        F.lit("\n" + LABEL["answer"]), F.col("answer"),
     )
     return (
         first.groupBy(session)
@@ -250,7 +256,7 @@ def qa_prompt(pairs: DataFrame, session: str = "session_name", k: int = 10, inst
         .select(
             session,
             join_lines(
-                F.lit("=== 질의-응답 샘플 ==="),
+                F.lit(LABEL["pairs"]),
                 F.array_join(F.transform("_e", lambda x: x["entry"]), "\n\n"),
                 F.lit(instructions),
             ).alias("prompt"),

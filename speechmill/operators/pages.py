@@ -20,7 +20,10 @@ from speechmill.functions.text import markup_text, squeeze, strip
 
 @dataclass(frozen=True)
 class Markup:
-    """Patterns of a page layout; group 1 is the wanted part unless said otherwise."""
+    """Patterns of a page layout; group 1 is the wanted part unless said otherwise.
+
+    The defaults are fixed values: class names and labels of the pages they were written for.
+    """
 
     # header
     turn: str = r'(?s)<p[^>]*class="[^"]*\bturn\b[^"]*"[^>]*>(.*?)</p>'

@@ -13,6 +13,7 @@ from speechmill.functions.expr import blank_to_null
 from speechmill.functions.text import path_safe
 from speechmill.operators.rollups import attach_group
 
+# --- fixed values: columns of the files in their order ---
 SPEECH_COLUMNS = (
     "session", "session_type", "meeting_no", "date", "speech_order", "speaker_name", "speaker_position",
     "speaker_area", "data_mem_id", "agenda_item_orders", "agenda_item_titles", "agenda_item_times", "speech_text",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from speechmill.operators.answers import RESULT_DOCUMENT, result_documents
 from speechmill.session import ensure_checkpoint_dir
 
+# --- fixed values: columns of the result tables; session_name is the partition ---
 TABLES = {
     "sessions": "session_id string, session_name string, meeting_date date, source_path string, hash_digest string, "
     "analysis_version string, analyzed_at timestamp, summary_text string, summary_embedding array<float>, "

@@ -98,6 +98,55 @@ FILLER_WORDS = [
 QUESTION_MARKERS = ["질의", "질문", "?", "문의", "묻고 싶", "알고 싶"]
 ANSWER_MARKERS = ["답변", "설명", "말씀", "드리", "알려"]
 
+# --- fixed values: labels in retrieval documents ----------------------------------------------
+
+DOCUMENT = {
+    "issues": "핵심 이슈 요약:",
+    "conflicts": "주요 쟁점:",
+    "events": "주요 사건:",
+    "parties": " / 참여 정당: ",
+    "response": " / 대응 ",
+    "agenda": "[안건] ",
+    "party": "[정당] ",
+    "stance": "[입장] ",
+    "key_points": "주요 포인트:",
+    "concerns": "우려 사항:",
+    "suggestions": "제안 사항:",
+    "questioner": "[질문자] ",
+    "question": "[질문]",
+    "respondent": "[답변자] ",
+    "answer": "[답변]",
+}
+
+# --- fixed values: labels in text blocks for a language service --------------------------------
+
+PROMPT = {
+    "session": "=== 회차 정보 ===",
+    "session_name": "회차: ",
+    "total": "총 발언 수: ",
+    "sampled": "개 (전체의 대표 샘플: ",
+    "count_end": "개)",
+    "count": "개",
+    "agendas": "=== 안건 통계 ===",
+    "no_agendas": "안건 정보 없음",
+    "parties": "=== 정당별 발언 통계 ===",
+    "speeches": "개 발언",
+    "samples": "=== 대표 발언 샘플 ===",
+    "sample_party": "] 정당: ",
+    "sample_speaker": ", 발언자: ",
+    "sample_text": "발언: ",
+    "agenda": "=== 안건 정보 ===",
+    "agenda_name": "안건명: ",
+    "party_samples": "=== 정당별 발언 샘플 ===",
+    "party": "[정당: ",
+    "pairs": "=== 질의-응답 샘플 ===",
+    "pair": "[질의-응답 ",
+    "questioner": "질문자 (",
+    "question": "질문: ",
+    "respondent": "답변자 (",
+    "answer": "답변: ",
+}
+
 # --- fixed values: policy areas (a word listed twice counts twice) ----------------------------
 
 POLICY_AREAS = {
