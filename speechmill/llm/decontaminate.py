@@ -27,25 +27,23 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _starts(hashes: Column) -> Column:
-    return F.when(F.size(hashes) >= SPAN, F.sequence(F.lit(0), F.size(hashes) - SPAN))
+def _seeded(df: DataFrame, keep: list[str], at: str) -> DataFrame:
+    """``keep`` columns, ``at`` and ``seed`` for each window and mask of ``hashes``.
 
-
-def _seeds(hashes: Column, at: Column) -> Column:
-    return F.array(*[F.xxhash64(F.lit(i), *[hashes[at + p] for p in mask]) for i, mask in enumerate(MASKS)])
-
-
-def _seeded(df: DataFrame, at: str) -> DataFrame:
-    """A row for each window and mask. The outer form keeps the optimizer from computing the words
-    once more for a filter below the generator."""
-    windows = df.select("*", F.explode_outer(_starts(F.col("hashes"))).alias(at))
-    return windows.select("*", F.explode_outer(_seeds(F.col("hashes"), F.col(at))).alias("seed")).filter(F.col(at).isNotNull())
+    Rows carry the window alone, not the whole text. The outer form keeps the optimizer from
+    computing the words once more for a filter below the generator.
+    """
+    hashes = F.col("hashes")
+    shifted = [F.slice(hashes, 1 + i, F.size(hashes)).alias(f"w{i}") for i in range(SPAN)]
+    windows = df.select(*keep, F.posexplode_outer(F.arrays_zip(*shifted)).alias(at, "window"))
+    whole = windows.filter(F.col(f"window.w{SPAN - 1}").isNotNull())
+    seeds = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"window.w{p}") for p in mask]) for i, mask in enumerate(MASKS)])
+    return whole.select(*keep, at, F.explode_outer(seeds).alias("seed"))
 
 
-def item_seeds(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """``seed, item_id, item_at, item_words`` of every item; repeated rows count once."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), word_hashes(F.col(text)).alias("hashes")).distinct()
-    return _seeded(items, "item_at").select("seed", "item_id", "item_at", F.col("hashes").alias("item_words"))
+def item_words(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """``item_id, item_words`` of every item; repeated rows count once."""
+    return benchmark.select(F.col(item_id).alias("item_id"), word_hashes(F.col(text)).alias("item_words")).distinct()
 
 
 def best_window(doc: Column, doc_at: Column, item: Column, item_at: Column, window: int) -> Column:
@@ -71,6 +69,7 @@ def leaks(
     window: int = 20,
     percent: int = 80,
     broadcast_seeds: int = 500_000,
+    bits: int = 24,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -81,17 +80,27 @@ def leaks(
     spans are not looked for, since so few words occur by chance. Null and empty texts match nothing;
     repeated rows give one result; empty tables give none; null ids are kept as such.
 
-    Only hits leave the scan. Item seeds are broadcast up to ``broadcast_seeds`` rows, which are
-    counted first; beyond that the same join is left to Spark.
+    Of the scan only hits are shuffled. Item seeds are broadcast up to ``broadcast_seeds`` rows, which
+    are counted first; beyond that the same join is left to Spark. The words of documents with a hit
+    are then read once more and compared around each hit.
     """
-    seeds = item_seeds(benchmark)
-    if seeds.count() <= broadcast_seeds:
-        seeds = F.broadcast(seeds)
-    hashed = docs.select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("hashes"))
-    hits = _seeded(hashed, "doc_at").join(seeds, "seed")
+    items = stored(item_words(benchmark), "items")
+    # Items may share an id, so a hit names the item by id and words.
+    items = items.withColumn("item_key", F.xxhash64("item_id", "item_words"))
+    seeds = stored(_seeded(items.withColumnRenamed("item_words", "hashes"), ["item_key"], "item_at"), "item-seeds")
+    few = seeds.count() <= broadcast_seeds
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"), F.xxhash64(doc_id, text).alias("row_key"))
+    hashed = rows.select("row_key", word_hashes(F.col("body")).alias("hashes"))
+    hits = _seeded(hashed, ["row_key"], "doc_at").join(F.broadcast(seeds) if few else seeds, "seed")
+    hits = stored(hits.select("row_key", "doc_at", "item_key", "item_at").distinct(), "seed-hits")
+
+    keys = stored(bitmap(hits.select("row_key").distinct(), "row_key", bits), "hit-bits")
+    suspects = possibly_in(rows, "row_key", keys, bits).select("doc_id", "row_key", word_hashes(F.col("body")).alias("hashes"))
+    words_of = F.broadcast(items) if few else items
+    around = suspects.join(hits, "row_key").join(words_of, "item_key")
     matched = best_window(F.col("hashes"), F.col("doc_at"), F.col("item_words"), F.col("item_at"), window)
     width = F.least(F.size("item_words"), F.lit(window))
-    found = hits.select("doc_id", "item_id", matched.alias("matched"), width.alias("width"))
+    found = around.select("doc_id", "item_id", matched.alias("matched"), width.alias("width"))
     close = found.filter(100 * F.col("matched") >= percent * F.col("width"))
     return close.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("width").cast("long").alias("width"))
 

@@ -5,9 +5,10 @@ smallest. Inverted lists of retained values generate candidates, the union sketc
 pair estimates its similarity, and the exact Jaccard similarity of the whole sets confirms it.
 
 Equal sets are one class throughout, so exact copies cost nothing beyond the first. Within a class
-of links only the components count, which keeps large groups linear: first every list is compared
-with one hub; what its hub has linked is one component, and the rest of a list is then compared
-with all members of other components. No list is cut short.
+of links only the components count, which keeps large groups linear: first every list is compared with one hub. Members of lists that this
+leaves in several components get lists once more, now from their whole sets, where rare values come
+first and far fewer places suffice; there the smaller components of a list are compared with all
+members of other components. No list is cut short.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from speechmill.llm.common import bitmap, possibly_in, stored
 
 CACHED_WORDS = 400_000
+#: Buckets of the table that orders values by how common they are, as a power of two.
+ORDER_BITS = 20
 
 
 class Shingler:
@@ -117,23 +120,58 @@ def least_overlap(k: int, threshold: float, deviations: float = 5.0) -> int:
     return max(1, math.floor(k * threshold - deviations * math.sqrt(k * threshold * (1 - threshold))))
 
 
-def inverted_lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """``value, digest, n`` for the rarest retained values of each class, singletons left out.
+def inverted_lists(classes: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
+    """``value, digest, n, shared`` for the rarest retained values of each class, singletons left out.
 
     If two sketches share at least ``m`` values, the rarest ``size - m + 1`` of either have one in
     common, for any common order of values; rarest first keeps common passages out of the lists.
     A set below the sketch size is retained whole, so its overlap with a similar one is exact.
+    ``shared`` counts the class's retained values that occur elsewhere.
     """
     share = least_overlap(k, percent / 100)
     values = classes.select("digest", F.col("n_shingles").alias("n"), F.explode("sketch").alias("value"))
-    frequency = classes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = values.join(frequency, "value").groupBy("digest", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("ranked"))
+    frequency = stored(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "near-frequency")
+    # Most values occur once and are left out before anything is shuffled.
+    known = stored(bitmap(frequency, "value", bits), "near-value-bits")
+    shared = possibly_in(values, "value", known, bits).join(frequency, "value")
+    shared = shared.groupBy("digest", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("ranked"))
     size = F.least(F.col("n"), F.lit(k))
     needed = F.least(F.lit(share), F.ceil(size * percent / 100))
     # Values of one document alone come first in the order and match nothing.
     room = size - needed + 1 - (size - F.size("ranked"))
-    entries = shared.select("digest", "n", F.slice("ranked", 1, F.greatest(room, F.lit(0)).cast("int")).alias("ranked"))
-    return entries.select("digest", "n", F.explode(F.col("ranked.value")).alias("value"))
+    entries = shared.select("digest", "n", F.size("ranked").alias("shared"), F.slice("ranked", 1, F.greatest(room, F.lit(0)).cast("int")).alias("ranked"))
+    return entries.select("digest", "n", "shared", F.explode(F.col("ranked.value")).alias("value"))
+
+
+def bucket_counts(sets: DataFrame, bits: int) -> np.ndarray:
+    """How often values of each bucket occur; a table of fixed size, whatever the number of sets."""
+    bucket = F.col("value").bitwiseAND(F.lit((1 << bits) - 1))
+    found = sets.select(F.explode("members").alias("value")).groupBy(bucket.cast("int").alias("bucket")).count().toArrow()
+    counts = np.zeros(1 << bits, dtype=np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("count").to_numpy()
+    return counts
+
+
+def exact_lists(sets: DataFrame, percent: int, bits: int) -> DataFrame:
+    """``value, digest, n, at``: the first values of each whole set, those of rare buckets first.
+
+    Sets of sizes n and m at the threshold share at least ``percent / (100 + percent) * (n + m)``
+    values, so among the first ``n - that + 1`` of either is a common one. A list holds what the
+    smallest possible partner needs; ``at`` lets a pair use what its own sizes need.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(bucket_counts(sets, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            for digest, members in zip(batch.column(0), batch.column(1), strict=True):
+                values = members.values.to_numpy()
+                n = len(values)
+                first = values[np.lexsort((values, counts[values & (len(counts) - 1)]))][: n - -(-n * percent // 100) + 1]
+                columns = [pa.array(first), pa.array([digest.as_py()] * len(first), pa.binary()), pa.array([n] * len(first), pa.int64()), pa.array(np.arange(1, len(first) + 1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["value", "digest", "n", "at"])
+
+    return sets.select("digest", "members").mapInArrow(run, "value long, digest binary, n long, at long")
 
 
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -187,27 +225,36 @@ def linked_classes(docs: DataFrame, rows: DataFrame, k: int, percent: int, words
     """The links between classes of equal sets, and their components."""
     first = F.min(F.struct("doc_id", "row_key"))["row_key"].alias("row_key")
     classes = rows.filter("n_shingles > 0").groupBy("digest", "n_shingles", "sketch").agg(first)
-    lists = stored(inverted_lists(classes, k, percent), "near-lists")
+    lists = stored(inverted_lists(classes, k, percent, bits), "near-lists")
     listed = stored(classes.join(lists.select("digest").distinct(), "digest", "left_semi"), "near-classes")
     keys = stored(bitmap(listed, "row_key", bits), "near-bitmap")
     sets = full_sets(docs, keys, words, bits, doc_id, text).groupBy("digest").agg(F.first("members").alias("members"))
     sets = stored(sets.join(listed.select("digest"), "digest", "left_semi"), "near-sets")
 
-    hub = lists.groupBy("value").agg(F.min(F.struct(F.xxhash64("digest").alias("r"), "digest", "n")).alias("hub"))
+    # The hub is the most ordinary member: most of its values occur elsewhere.
+    hub = lists.groupBy("value").agg(F.min(F.struct((-F.col("shared")).alias("r"), "digest", "n")).alias("hub"))
     star = lists.join(hub, "value").select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("hub.digest").alias("b"), F.col("hub.n").alias("nb"))
     tested = stored(_pairs(star, percent), "near-pairs")
     links = stored(_confirmed(tested, listed, sets, k, percent), "near-links")
     roots = components(links)
 
-    placed = lists.join(roots, "digest", "left").select("value", "digest", "n", F.coalesce("root", "digest").alias("root"))
+    # Lists of two are settled by then, and so are lists within one component.
+    placed = lists.join(roots, "digest", "left").select("value", "digest", F.coalesce("root", "digest").alias("root"))
     placed = stored(placed, "near-placed")
-    largest = placed.groupBy("value", "root").count().groupBy("value").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    largest = stored(largest.filter("roots > 1").select("value", "main"), "near-main")
+    unsettled = placed.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    unsettled = unsettled.filter("n > 2 and low != high").select("value")
+    left = stored(placed.join(unsettled, "value", "left_semi").groupBy("digest").agg(F.first("root").alias("root")), "near-unsettled")
+    again = exact_lists(stored(sets.join(left, "digest", "left_semi"), "near-unsettled-sets"), percent, ORDER_BITS)
+    again = stored(again.join(left, "digest"), "near-exact-lists")
     # The smaller components of a list against all its members; the largest is settled within itself.
-    open_lists = placed.join(largest, "value")
-    rest = open_lists.filter("root != main").select("value", F.col("digest").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    other = placed.select("value", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    across = rest.join(other, "value").filter("ra != rb")
+    by_root = again.groupBy("value", "root").count().groupBy("value")
+    main = by_root.agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    rest = again.join(main.select("value", "main"), "value").filter("root != main")
+    rest = stored(rest.select("value", F.col("digest").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("at").alias("at_a")), "near-rest")
+    other = again.select(F.col("value").alias("v"), F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("at").alias("at_b"))
+    least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    within = (F.col("at_a") <= F.col("na") - least + 1) & (F.col("at_b") <= F.col("nb") - least + 1)
+    across = rest.join(other, (F.col("value") == F.col("v")) & (F.col("ra") != F.col("rb")) & within)
     late = stored(_pairs(across, percent).join(tested, ["a", "b"], "left_anti"), "near-late")
     links = links.unionByName(stored(_confirmed(late, listed, sets, k, percent), "near-late-links"))
     return links, components(links)
