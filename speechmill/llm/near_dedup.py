@@ -27,6 +27,8 @@ from speechmill.llm.common import bitmap, possibly_in, stored
 CACHED_WORDS = 400_000
 #: Buckets of the table that orders values by how common they are, as a power of two.
 ORDER_BITS = 20
+#: 64-bit words of a set's parity bits.
+PARITY = 8
 
 
 class Shingler:
@@ -153,12 +155,15 @@ def bucket_counts(sets: DataFrame, bits: int) -> np.ndarray:
 
 
 def exact_lists(sets: DataFrame, percent: int, bits: int) -> DataFrame:
-    """``value, digest, n, at``: the first values of each whole set, those of rare buckets first.
+    """``value, digest, n, at, p0, ...``: the first values of each whole set, those of rare buckets first.
 
     Sets of sizes n and m at the threshold share at least ``percent / (100 + percent) * (n + m)``
     values, so among the first ``n - that + 1`` of either is a common one. A list holds what the
-    smallest possible partner needs; ``at`` lets a pair use what its own sizes need.
+    smallest possible partner needs; ``at`` lets a pair use what its own sizes need. The words ``p0`` and on
+    tell of each bit whether an odd number of values falls on it: two sets differ in at least
+    as many values as in bits.
     """
+    parity = [f"p{i}" for i in range(PARITY)]
     shared = sets.sparkSession.sparkContext.broadcast(bucket_counts(sets, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +173,12 @@ def exact_lists(sets: DataFrame, percent: int, bits: int) -> DataFrame:
                 values = members.values.to_numpy()
                 n = len(values)
                 first = values[np.lexsort((values, counts[values & (len(counts) - 1)]))][: n - -(-n * percent // 100) + 1]
+                odd = np.bincount((values >> 20) & (64 * PARITY - 1), minlength=64 * PARITY).astype(np.uint8) & 1
                 columns = [pa.array(first), pa.array([digest.as_py()] * len(first), pa.binary()), pa.array([n] * len(first), pa.int64()), pa.array(np.arange(1, len(first) + 1))]
-                yield pa.RecordBatch.from_arrays(columns, names=["value", "digest", "n", "at"])
+                columns += [pa.array([w] * len(first), pa.int64()) for w in np.packbits(odd).view(np.int64).tolist()]
+                yield pa.RecordBatch.from_arrays(columns, names=["value", "digest", "n", "at", *parity])
 
-    return sets.select("digest", "members").mapInArrow(run, "value long, digest binary, n long, at long")
+    return sets.select("digest", "members").mapInArrow(run, "value long, digest binary, n long, at long, " + ", ".join(f"{p} long" for p in parity))
 
 
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -250,11 +257,15 @@ def linked_classes(docs: DataFrame, rows: DataFrame, k: int, percent: int, words
     by_root = again.groupBy("value", "root").count().groupBy("value")
     main = by_root.agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     rest = again.join(main.select("value", "main"), "value").filter("root != main")
-    rest = stored(rest.select("value", F.col("digest").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("at").alias("at_a")), "near-rest")
-    other = again.select(F.col("value").alias("v"), F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("at").alias("at_b"))
+    rest = stored(rest.select("value", F.col("digest").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("at").alias("at_a"), *[F.col(f"p{i}").alias(f"pa{i}") for i in range(PARITY)]), "near-rest")
+    other = again.select(F.col("value").alias("v"), F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("at").alias("at_b"), *[F.col(f"p{i}").alias(f"pb{i}") for i in range(PARITY)])
     least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     within = (F.col("at_a") <= F.col("na") - least + 1) & (F.col("at_b") <= F.col("nb") - least + 1)
-    across = rest.join(other, (F.col("value") == F.col("v")) & (F.col("ra") != F.col("rb")) & within)
+    differ = F.bit_count(F.col("pa0").bitwiseXOR(F.col("pb0")))
+    for i in range(1, PARITY):
+        differ = differ + F.bit_count(F.col(f"pa{i}").bitwiseXOR(F.col(f"pb{i}")))
+    close = differ <= F.col("na") + F.col("nb") - 2 * least
+    across = rest.join(other, (F.col("value") == F.col("v")) & (F.col("ra") != F.col("rb")) & within & close)
     late = stored(_pairs(across, percent).join(tested, ["a", "b"], "left_anti"), "near-late")
     links = links.unionByName(stored(_confirmed(late, listed, sets, k, percent), "near-late-links"))
     return links, components(links)
