@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from speechmill.llm.common import shared_path
 END_ID = 0
 #: Documents that the dictionary is trained on, at most, and its size in bytes.
 SAMPLE, DICTIONARY_BYTES = 300, 64 << 10
-CACHED_PIECES, LONGEST_CACHED = 300_000, 64
+CACHED_PIECES, LONGEST_CACHED = 900_000, 64
 ENTRY = np.dtype([("has_id", "<u8"), ("doc_id", "<i8"), ("place", "<u8"), ("size", "<u8"), ("n_tokens", "<u8")])
 MANIFEST = "shard long, data string, index string, dictionary string, n_docs long, n_tokens long"
 #: A space before something that is not white space always begins a word of byte-level BPE.
@@ -51,18 +52,19 @@ class Encoder:
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         got = self.tool.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in got)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED_PIECES:
             self.known.clear()
         known = self.known
         cut = [CUT.split(t) for t in texts]
-        for parts in cut:
-            parts[1:] = [" " + p for p in parts[1:]]
-        fresh = list({p for parts in cut for p in parts}.difference(known))
-        known.update(zip(fresh, self._plain(fresh), strict=True))
-        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        heads = [parts.pop(0) for parts in cut]
+        # The other pieces follow a space; they are remembered without it.
+        fresh = list(set().union(*cut).difference(known))
+        ids = self._plain(heads + [" " + p for p in fresh])
+        known.update(zip(fresh, ids[len(heads) :], strict=True))
+        out = [head + b"".join(map(known.__getitem__, parts)) for head, parts in zip(ids, cut, strict=False)]
         for piece in fresh:
             if len(piece) > LONGEST_CACHED:
                 del known[piece]
