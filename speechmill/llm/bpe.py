@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_PIECES = 300_000
+CACHED_PIECES = 150_000
 LONGEST_CACHED = 64
 #: A space before something that is not white space always begins a pre-token, so texts may be cut there.
 CUT = re.compile(r" (?=\S)")
@@ -196,20 +196,20 @@ def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
         for batch in batches:
-            counts, ids, hashes, back = [], [], [], []
+            start = 0
             for group in batches_of((t.as_py() or "" for t in batch.column(1)), 1 << 20):
-                for data in tool.encode(group):
-                    counts.append(len(data) // 4)
-                    hashes.append(hashlib.sha256(data).hexdigest())
-                    back.append(hashlib.sha256(tool.decode(data)).hexdigest())
-                    if with_ids:
-                        ids.append(data)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                ids = tool.encode(group)
+                columns = [
+                    batch.column(0).slice(start, len(group)),
+                    pa.array([len(data) // 4 for data in ids], pa.int64()),
+                    pa.array([hashlib.sha256(data).hexdigest() for data in ids]),
+                    pa.array([hashlib.sha256(tool.decode(data)).hexdigest() for data in ids]),
+                    *([pa.array(ids, pa.binary())] if with_ids else []),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                start += len(group)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from speechmill.llm.common import bitmap, possibly_in, stored
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
+#: Rows that a task holds the sets of at once.
+ROWS_AT_ONCE = 256
 #: Buckets of the table that orders values by how common they are, as a power of two.
 ORDER_BITS = 20
 #: 64-bit words of a set's parity bits.
@@ -76,6 +78,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(start, ROWS_AT_ONCE)
+
+
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("body"), F.xxhash64(F.col(doc_id).cast("long"), text).alias("row_key"))
 
@@ -85,7 +93,7 @@ def sketches(docs: DataFrame, k: int, words: int, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, digests, kept = [], [], []
             for body in batch.column(1):
                 values = shingler(body.as_py())
@@ -106,7 +114,7 @@ def full_sets(docs: DataFrame, keys: DataFrame, words: int, bits: int, doc_id: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingler(body.as_py()) for body in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), _lists(sets)], names=["digest", "members"])
 
