@@ -136,7 +136,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "do
     dictionary = train(rows, tokenizer)
     store, root = files.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
     store.create_dir(root, recursive=True)
-    with store.open_output_stream(f"{root}/dictionary.zstd") as out:
+    with store.open_output_stream(f"{root}/dictionary.zstd", compression=None) as out:
         out.write(dictionary)
     name, uri = dictionary_hash(dictionary), folder
 
@@ -148,7 +148,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "do
         data, index = f"{root}/shard-{shard:06d}-{attempt}.zst", f"{root}/shard-{shard:06d}-{attempt}.index"
         out, entries, place, end = None, [], 0, end_id.to_bytes(4, "little")
         for ids, texts in _groups(batches):
-            out = out or store.open_output_stream(data)
+            out = out or store.open_output_stream(data, compression=None)
             for one, tokens in zip(ids, tool(texts), strict=True):
                 frame = squeeze.compress(tokens + end)
                 out.write(frame)
@@ -158,7 +158,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "do
             return
         out.close()
         table = np.array(entries, dtype=ENTRY)
-        with store.open_output_stream(index) as sink:
+        with store.open_output_stream(index, compression=None) as sink:
             sink.write(table.tobytes())
         row = [[shard], [data], [index], [name], [len(table)], [int(table["n_tokens"].sum())]]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
@@ -173,7 +173,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "do
 
 def _opened(folder: str) -> tuple[files.FileSystem, bytes]:
     store, root = files.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-    with store.open_input_stream(f"{root}/dictionary.zstd") as source:
+    with store.open_input_stream(f"{root}/dictionary.zstd", compression=None) as source:
         return store, source.read()
 
 
@@ -199,12 +199,12 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for shard in batch.to_pylist():
                 unpack = _unpacker(dictionary, shard["dictionary"])
-                with store.open_input_stream(shard["index"]) as source:
+                with store.open_input_stream(shard["index"], compression=None) as source:
                     table = np.frombuffer(source.read(), dtype=ENTRY)
                 sums = []
-                with store.open_input_stream(shard["data"]) as source:
+                with store.open_input_stream(shard["data"], compression=None) as source:
                     for entry in table:
-                        ids = unpack.decompress(source.read(int(entry["size"])), max_output_size=4 * int(entry["n_tokens"]))
+                        ids = unpack.decompressobj().decompress(source.read(int(entry["size"])))
                         if len(ids) != 4 * int(entry["n_tokens"]):
                             raise ValueError("a frame does not hold the tokens of its index entry")
                         sums.append(zlib.crc32(ids))
@@ -232,7 +232,7 @@ def read_document(manifest_row: dict, folder: str, position: int) -> np.ndarray:
     with store.open_input_file(manifest_row["data"]) as source:
         frame = source.read_at(int(entry["size"]), int(entry["place"]))
     unpack = _unpacker(dictionary, manifest_row["dictionary"])
-    return np.frombuffer(unpack.decompress(frame, max_output_size=4 * int(entry["n_tokens"])), dtype="<u4")
+    return np.frombuffer(unpack.decompressobj().decompress(frame), dtype="<u4")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
