@@ -107,4 +107,4 @@ def store(
         # The session row carries the digest, so it is written when everything else is in place.
         ("sessions", sessions),
     ):
-        tables.replace_sessions(frame, table, root)
+        tables.replace_sessions(frame, table, root, worklist.filter(F.col("reason") != "unchanged"))

@@ -41,11 +41,13 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     )
 
 
-def replace_sessions(df: DataFrame, table: str, root: str) -> None:
+def replace_sessions(df: DataFrame, table: str, root: str, worklist: DataFrame | None = None) -> None:
     """Write the sessions present in ``df`` over their stored versions; others are left alone.
 
-    Only the partitions written are replaced, so a repeated run stores the same rows again.
+    Sessions of ``worklist`` (``session_name``) that have no row in ``df`` end without rows: their stored
+    partitions are dropped. A repeated run stores the same rows again.
     """
+    spark = df.sparkSession
     (
         conform(df, table)
         .write.mode("overwrite")
@@ -53,6 +55,17 @@ def replace_sessions(df: DataFrame, table: str, root: str) -> None:
         .partitionBy("session_name")
         .parquet(f"{root}/{table}")
     )
+    if worklist is None:
+        return
+    stored = read_table(spark, table, root).select("session_name").distinct()
+    stale = stored.join(worklist.select("session_name"), "session_name", "left_semi").join(df.select("session_name"), "session_name", "left_anti")
+    # One name for each changed session at most.
+    gone = [r["session_name"] for r in stale.collect()]
+    jvm = spark._jvm
+    for name in gone:
+        escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/session_name={escaped}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_table(spark: SparkSession, table: str, root: str) -> DataFrame:

@@ -115,3 +115,13 @@ def test_spread_only_touches_small_scans(spark):
     assert sm.spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(0, 100, 1, 64)
     assert sm.spread(many, "id") is many
+
+
+def test_replacing_drops_sessions_without_rows(spark, tmp_path):
+    root = str(tmp_path)
+    tables.replace_sessions(trends(spark, [("s 1/2", "a", 1), ("r", "a", 3), ("t", "a", 4)]), "issue_trends", root)
+    changed = spark.createDataFrame([("s 1/2",), ("t",), ("new",)], "session_name string")
+    for _ in range(2):
+        tables.replace_sessions(trends(spark, [("t", "b", 5)]), "issue_trends", root, changed)
+    got = tables.read_table(spark, "issue_trends", root)
+    assert sorted((r["session_name"], r["issue_keyword"]) for r in got.collect()) == [("r", "a"), ("t", "b")]
