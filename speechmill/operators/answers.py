@@ -316,13 +316,8 @@ QUESTION_LABELS = ("policy_inquiry", "fact_checking", "criticism", "suggestion")
 
 def stance_matrix(positions: DataFrame) -> DataFrame:
     """Every agenda against every party of the session; no position is an empty label and 0."""
-    labels = positions.groupBy("session_name").agg(F.collect_set("party_name").alias("_parties"))
-    grid = (
-        positions.select("session_name", "agenda_title")
-        .distinct()
-        .join(labels, "session_name")
-        .select("session_name", "agenda_title", F.explode("_parties").alias("party_name"))
-    )
+    labels = positions.select("session_name", "party_name").filter(F.col("party_name").isNotNull()).distinct()
+    grid = positions.select("session_name", "agenda_title").distinct().join(labels, "session_name")
     keys = ["session_name", "agenda_title", "party_name"]
     return grid.join(positions.select(*keys, "stance_label"), keys, "left").select(
         "session_name",

@@ -12,7 +12,6 @@ from speechmill import values
 from speechmill.functions.expr import computed_if, let, text_array
 from speechmill.functions.text import strip
 from speechmill.operators.lexicon import Lexicon, found_keywords
-from speechmill.session import broadcast_if_small
 
 KEEP = "keep"
 
@@ -75,10 +74,10 @@ def is_named_group(group: Column, skip: Sequence[str] = (values.NO_PARTY,)) -> C
 def eligible_groups(df: DataFrame, by: str, at_least: int = 10) -> DataFrame:
     """Rows of the groups that have at least ``at_least`` rows.
 
-    The groups are counted first, so that the rows can stay where they are.
+    One row per group comes out of the count; at run time Spark chooses how to join it.
     """
     sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= at_least)
-    return df.join(broadcast_if_small(sizes.select(by)), by, "left_semi")
+    return df.join(sizes.select(by), by, "left_semi")
 
 
 def select_groups(df: DataFrame, by: str, chosen: Sequence[str]) -> DataFrame:

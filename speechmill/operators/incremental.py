@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from speechmill.functions.expr import let
 from speechmill.operators.rollups import top_k
-from speechmill.session import broadcast_if_small
 
 
 def run_version(at: datetime) -> str:
@@ -67,7 +66,7 @@ def sessions_to_process(
 def changed_rows(df: DataFrame, worklist: DataFrame, session: str = "session_name") -> DataFrame:
     """Rows of the sessions to process; every later stage runs once with the session as a key."""
     names = worklist.filter(F.col("reason") != "unchanged").select(session)
-    return df.join(broadcast_if_small(names), session, "left_semi")
+    return df.join(names, session, "left_semi")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -103,8 +102,8 @@ def attach_vectors(rows: DataFrame, vectors: DataFrame, on: str = "content_hash"
 
 
 def missing_vectors(rows: DataFrame, vectors: DataFrame, on: str = "content_hash") -> DataFrame:
-    """Contents still without a stored vector, each once; copies collapse before the shuffle."""
-    return rows.dropDuplicates([on]).join(vectors.select(on), on, "left_anti")
+    """Hashes of the contents still without a stored vector, each once; copies collapse before the shuffle."""
+    return rows.select(on).distinct().join(vectors.select(on), on, "left_anti")
 
 
 def unit(vector: Column) -> Column:

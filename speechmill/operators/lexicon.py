@@ -7,11 +7,9 @@ itself never has to travel through a later join or aggregation.
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +17,6 @@ from speechmill import values
 from speechmill.functions.expr import let, text_array, unnest
 from speechmill.functions.text import preview
 
-# Above this many distinct keywords one automaton pass beats one containment test per keyword.
-AUTOMATON_FROM = 24
-
 LEXICON_SCHEMA = "lexicon_id string, topic string, topic_ord int, keywords array<string>, weight double"
 
 
@@ -93,49 +88,28 @@ class Lexicon:
         )
 
 
-def _automaton_matcher(vocabulary: Sequence[str]):
-    @F.pandas_udf("array<string>")
-    def matched(batches: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for word in vocabulary:
-            automaton.add_word(word, word)
-        automaton.make_automaton()
-        return batches.map(lambda text: sorted({word for _, word in automaton.iter(text)}))
-
-    return matched
-
-
-def found_keywords(text: Column, lexicon: Lexicon, matcher: str = "auto") -> Column:
+def found_keywords(text: Column, lexicon: Lexicon) -> Column:
     """Distinct lexicon keywords contained in the text, in folded spelling.
 
-    ``builtin`` tests every keyword inside the JVM; ``automaton`` reads the text once in an Arrow
-    batch, which wins as soon as the lexicon is more than a few words long.
+    Every keyword is tested inside the JVM, whatever the number of keywords.
     """
-    vocabulary = lexicon.vocabulary()
     source = F.coalesce(text, F.lit(""))
     if lexicon.fold_case:
         source = F.lower(source)
-    if matcher == "auto":
-        has_library = importlib.util.find_spec("ahocorasick") is not None
-        matcher = "automaton" if has_library and len(vocabulary) > AUTOMATON_FROM else "builtin"
-    if matcher == "automaton":
-        return _automaton_matcher(vocabulary)(source)
-    return let(source, lambda t: F.filter(text_array(vocabulary), lambda k: F.contains(t, k)))
+    return let(source, lambda t: F.filter(text_array(lexicon.vocabulary()), lambda k: F.contains(t, k)))
 
 
-def topic_counts(text: Column, lexicon: Lexicon, matcher: str = "auto") -> Column:
+def topic_counts(text: Column, lexicon: Lexicon) -> Column:
     """ARRAY<INT>: listed keywords contained in the text, per topic in lexicon order."""
     return let(
-        found_keywords(text, lexicon, matcher),
+        found_keywords(text, lexicon),
         lambda found: F.transform(
             lexicon.column(), lambda t: F.size(F.filter(t["folded"], lambda k: F.array_contains(found, k)))
         ),
     )
 
 
-def topic_matches(text: Column, lexicon: Lexicon, matcher: str = "auto") -> Column:
+def topic_matches(text: Column, lexicon: Lexicon) -> Column:
     """ARRAY<STRUCT<topic, topic_ord, matched>> of the topics with at least one hit."""
 
     def per_topic(found: Column) -> Column:
@@ -152,7 +126,7 @@ def topic_matches(text: Column, lexicon: Lexicon, matcher: str = "auto") -> Colu
         )
         return F.filter(hits, lambda h: F.size(h["matched"]) > 0)
 
-    return let(found_keywords(text, lexicon, matcher), per_topic)
+    return let(found_keywords(text, lexicon), per_topic)
 
 
 def dominant_topic(counts: Column, lexicon: Lexicon, default: str = values.OTHER_AREA) -> Column:

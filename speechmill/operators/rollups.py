@@ -204,13 +204,8 @@ def dense_series(party_monthly: DataFrame, party: str, month: str, months: DataF
 def dense_grid(df: DataFrame, scope: str, row: str, column: str, value: Column, out: str) -> DataFrame:
     """Every row label against every column label of the same scope; absent cells 0."""
     cells = df.groupBy(scope, row, column).agg(value.alias(out))
-    labels = cells.groupBy(scope).agg(F.collect_set(column).alias("_labels"))
-    grid = (
-        cells.select(scope, row)
-        .distinct()
-        .join(labels, scope)
-        .select(scope, row, F.explode("_labels").alias(column))
-    )
+    labels = cells.select(scope, column).filter(F.col(column).isNotNull()).distinct()
+    grid = cells.select(scope, row).distinct().join(labels, scope)
     return grid.join(cells, [scope, row, column], "left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
 
 

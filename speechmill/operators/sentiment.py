@@ -14,7 +14,7 @@ from speechmill.operators.lexicon import Lexicon, topic_counts
 LABELS = ("positive", "negative", "neutral")
 
 
-def sentiment(text: Column, lexicon: Lexicon, matcher: str = "auto") -> Column:
+def sentiment(text: Column, lexicon: Lexicon) -> Column:
     """STRUCT<label, score>; the lexicon's topics are positive, negative, neutral in this order.
 
     A label wins only when its weighted count is strictly above both others. The score is the
@@ -32,7 +32,7 @@ def sentiment(text: Column, lexicon: Lexicon, matcher: str = "auto") -> Column:
             F.when(is_pos, pos / total).when(is_neg, -neg / total).otherwise(F.lit(0.0)).alias("score"),
         )
 
-    return let(topic_counts(text, lexicon, matcher), judge)
+    return let(topic_counts(text, lexicon), judge)
 
 
 def label_distribution(df: DataFrame, by: Sequence[str] = (), label: str = "label", more_than: int = 0) -> DataFrame:

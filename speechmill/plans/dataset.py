@@ -36,6 +36,9 @@ ISSUES = Lexicon.of(
     {"whether": ["wh", "Wh"], "street": ["Street", "email", "@"], "licence": ["icense", "Copyright"], "none": ["zzzz"]},
     fold_case=False,
 )
+# Pairs of letters, and the same pairs followed by "en".
+_PAIRS = [a + b for a in "abcdefghijklmno" for b in "aeiourstln"]
+LONG = Lexicon.of({"beginnings": _PAIRS, "whole": [p + "en" for p in _PAIRS]})
 POLICY = ["the", "and", "tion", "der", "und", "est", "que", "eau", "ment", "de "]
 PROCEDURAL = ["thank", "wh", "sch", "oui", "ción"]
 FILLERS = ["euh", "the", "ou", "ein", "de"]
@@ -92,7 +95,8 @@ def with_speaker(df: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
     """Join the speaker by the speech's key.
 
     Both sides grow with the data, so neither is broadcast; the narrow side is the one hashed, and
-    the wide one needs no sort.
+    the wide one needs no sort. A partition of the narrow side, a few dozen bytes a speech, has to
+    fit in a task's memory.
     """
     return df.join(speakers(spark, sf).hint("shuffle_hash"), "speech_key")
 

@@ -72,10 +72,12 @@ def page_speeches(spark, sf):
 
 
 def page_keys(spark, sf):
-    """Keys of pages whose header parse, body parse or both are there."""
-    headers = pg.page_headers(source(spark, sf), LAYOUT)
-    english, numbered = F.contains("html", F.lit('lang="en"')), F.col("session").isNotNull()
-    return pg.page_keys(headers.filter(~english), headers.filter(~numbered))
+    """Keys of all pages, from the header rows or else from the speech rows."""
+    pages = source(spark, sf)
+    headers = pg.page_headers(pages, LAYOUT)
+    listed = pg.header_rows(headers, LAYOUT).select("page_id", "session", "meeting_no").distinct()
+    spoken = pg.speech_rows(pages, LAYOUT).select("page_id").distinct()
+    return pg.page_keys(listed, headers.select("page_id", "session", "meeting_no").join(spoken, "page_id"))
 
 
 def path_keys(spark, sf):
@@ -143,7 +145,8 @@ SELECT a.page_id, CAST(a.speech_order AS BIGINT) AS speech_order,
   md5({_markup_lines("regexp_extract(piece, '(?s)^<p>(.*?)(?:</p>|$)', 1)")}) AS speech,
   coalesce(g.agenda_item_titles, '') AS agenda_item_titles, coalesce(g.agenda_item_times, '') AS agenda_item_times
 FROM a LEFT JOIN grp g ON g.page_id = a.page_id AND g.start_order = a.so""",
-    "page_keys": f"""{_HEAD}, k AS (SELECT page_id, session, meeting_no FROM hd WHERE NOT contains(html, 'lang="en"') OR session IS NULL)
+    "page_keys": f"""{_HEAD}, {_ITEMS}, {_BODY}, k AS (SELECT page_id, session, meeting_no FROM hd
+  WHERE page_id IN (SELECT page_id FROM hrow) OR page_id IN (SELECT page_id FROM sp))
 SELECT page_id, coalesce(CAST(session AS VARCHAR), 'unknown') AS session, coalesce(nullif(trim(meeting_no), ''), 'unknown') AS meeting_no FROM k""",
     "path_keys": f"SELECT page_id, {ds.strip_sql('''translate(url, '/\\:?*\"<>|', '___')''')} AS path FROM pages",
     "page_load_totals": f"""{_HEAD}, {_ITEMS}, {_BODY}, a AS (SELECT page_id, 'header' AS kind FROM hrow UNION ALL SELECT page_id, 'speech' FROM sp)

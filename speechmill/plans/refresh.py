@@ -9,7 +9,7 @@ from speechmill import values
 from speechmill.functions.fields import natural_key
 from speechmill.operators import answers, chunks, dialogue, filters, incremental, sentiment
 from speechmill.operators.lexicon import Lexicon, issue_mentions
-from speechmill.session import broadcast_if_small
+from speechmill.session import ensure_checkpoint_dir
 from speechmill.sources import speeches as sp
 from speechmill.sources import tables
 
@@ -26,7 +26,6 @@ def changed_sessions(speeches: DataFrame, stored: DataFrame, version: str, force
 
 def prompts(speeches: DataFrame, worklist: DataFrame, instructions: str = "") -> dict[str, DataFrame]:
     """Text blocks for the changed sessions, to be answered by an outside service."""
-    worklist = broadcast_if_small(worklist)
     rows = incremental.changed_rows(speeches, worklist).filter(filters.is_substantive(F.col("speech_text")))
     # Only the first characters are ever shown.
     rows = rows.withColumn("speech_text", F.substring("speech_text", 1, 500)).withColumn(
@@ -77,9 +76,10 @@ def store(
 
     Each stage runs once for all of them with the session as a key. A table's partitions are
     replaced as a whole, so running this again stores the same rows. The work list, one row per
-    session, is gathered first: it is used by every stage and may come from the stored sessions.
+    session, is checkpointed first: it is used by every stage and may come from the stored sessions.
     """
-    worklist = broadcast_if_small(worklist)
+    ensure_checkpoint_dir(worklist.sparkSession)
+    worklist = worklist.checkpoint()
     rows = incremental.changed_rows(speeches, worklist)
     totals = rows.groupBy("session_name").agg(
         F.count(F.lit(1)).alias("total_speeches"),

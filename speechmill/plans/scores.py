@@ -77,6 +77,13 @@ def lexicon_table_scores(spark, sf):
     return lx.topic_scores(df, lexicon, ["agenda"]).select("agenda", "topic", *rounded_scores())
 
 
+def long_lexicon_counts(spark, sf):
+    """Hits per speech of a lexicon of 300 words, half of them beginnings of the others."""
+    counts = lx.topic_counts(F.col("speech_text"), ds.LONG)
+    df = ds.texts(spark, sf).select("speech_key", counts.alias("n"))
+    return df.select("speech_key", *[F.get("n", F.lit(i)).cast("long").alias(t) for i, t in enumerate(ds.LONG.names)])
+
+
 def rollup(spark, sf):
     return rollups.topic_rollup(counted(spark, sf), ds.TOPICS, "session_name", "month", "party", "d")
 
@@ -196,7 +203,7 @@ def issue_trends(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        party_topic_scores, group_rank_in_topic, topic_matches, dominant_topics, topic_examples, lexicon_table_scores,
+        party_topic_scores, group_rank_in_topic, topic_matches, dominant_topics, topic_examples, lexicon_table_scores, long_lexicon_counts,
         topic_rollup, session_topic_scores, month_extremes, party_topic_means, party_month_series, sentiment_labels,
         sentiment_scores, sentiment_overall, sentiment_by_party, sentiment_by_month, sentiment_tone,
         sentiment_month_matrix, sentiment_party_matrix, issue_mentions, issue_trends,
@@ -255,6 +262,9 @@ x AS (SELECT *, row_number() OVER (PARTITION BY party, topic ORDER BY speech_key
 SELECT party, topic, example, speech_key, speaker_name,
   CASE WHEN length(speech_text) > 100 THEN substring(speech_text, 1, 100) || '...' ELSE speech_text END AS preview, matched
 FROM x WHERE example <= 3""",
+    "long_lexicon_counts": f"""WITH {ds.lexicon_sql(ds.LONG)} SELECT doc_id AS speech_key,
+  count(*) FILTER (WHERE ord = 0 AND contains(lower(text), kw)) AS beginnings, count(*) FILTER (WHERE ord = 1 AND contains(lower(text), kw)) AS whole
+FROM documents CROSS JOIN lex GROUP BY doc_id""",
     "lexicon_table_scores": f"""WITH {ds.SPEECH_SQL}, {_DISTINCT}, hit AS (
   SELECT s.speech_key, s.agenda_item_titles AS agenda, l.topic, l.ord, l.weight,
     count(*) FILTER (WHERE contains(lower(s.speech_text), lower(l.kw))) AS n

@@ -98,7 +98,7 @@ def attached_vectors(spark, sf):
 
 
 def missing_vectors(spark, sf):
-    return incremental.missing_vectors(contents(spark, sf), vectors(spark, sf)).select("content_hash")
+    return incremental.missing_vectors(contents(spark, sf), vectors(spark, sf))
 
 
 def nearest_to_labels(spark, sf):

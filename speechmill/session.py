@@ -57,17 +57,3 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *[F.col(k) if isinstance(k, str) else k for k in keys])
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_chars: int = 32_000_000) -> DataFrame:
-    """A small derived table, gathered once and marked for broadcast; a larger one unchanged.
-
-    The size of a table that comes out of an aggregation is unknown when the join is planned, so
-    Spark would shuffle the large side by the join key, hot keys included, before it learns that
-    the other side has a few rows. Beyond the bounds the join is left to Spark.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    chars = sum(len(cell) for row in rows for cell in row if isinstance(cell, str))
-    if len(rows) > max_rows or chars > max_chars:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -57,12 +57,17 @@ def with_provenance(df: DataFrame) -> DataFrame:
 def read_speeches(spark: SparkSession, root: str, with_party: bool = True, session: str = "제*") -> DataFrame:
     """Speech files of all session folders, or of one.
 
-    Files are taken by name, unreadable ones are skipped, and a data row whose session or order is
-    not a number is dropped as broken.
+    Files are taken by name and unreadable ones are skipped. Every data row is kept; a session or
+    order that is not a number is null, and :func:`unordered_rows` counts those.
     """
     columns = SPEECH_COLUMNS + (("party",) if with_party else ())
-    df = with_provenance(_read_csv(spark, [f"{root}/{session}/*speeches*.csv"], columns))
-    return df.filter(F.col("speech_order").isNotNull())
+    return with_provenance(_read_csv(spark, [f"{root}/{session}/*speeches*.csv"], columns))
+
+
+def unordered_rows(df: DataFrame) -> DataFrame:
+    """Rows per file whose session or order is not a number."""
+    broken = F.col("session").isNull() | F.col("speech_order").isNull()
+    return df.filter(broken).groupBy("session_name", "file_name").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def read_session(spark: SparkSession, root: str, session_name: str) -> DataFrame:

@@ -24,12 +24,11 @@ def test_duplicate_keyword_counts_twice(value):
     assert value(lx.topic_counts(F.col("x"), single), x="현안질의")[AREAS.names.index("국정감사")] == 3
 
 
-@pytest.mark.parametrize("matcher", ["builtin", "automaton"])
-def test_matchers_agree(spark, matcher):
+def test_keyword_counts(spark):
     texts = ["지방교부세와 예산집행", "R&D 투자", None, "", "안전관리 119"]
     lexicon = lx.Lexicon.of({**values.POLICY_AREAS, "기술": ["R&D", "UN"]})
     df = spark.createDataFrame([(t,) for t in texts], "x string")
-    got = [r[0] for r in df.select(lx.topic_counts(F.col("x"), lexicon, matcher)).collect()]
+    got = [r[0] for r in df.select(lx.topic_counts(F.col("x"), lexicon)).collect()]
     for shown, counts in zip(texts, got):
         folded = (shown or "").lower()
         assert counts == [sum(k.lower() in folded for k in t.keywords) for t in lexicon.topics]
@@ -265,3 +264,18 @@ def test_nearest(spark):
     two = queries.unionAll(queries)
     with pytest.raises(Exception, match="more than 1 query"):
         incremental.nearest(df, incremental.query_list(two, "name", limit=1), "k").collect()
+
+
+def test_top_terms_of_large_groups_only(spark):
+    df = spark.createDataFrame([("a", ["x", "y", "x"]), ("a", []), ("a", None), ("b", ["x"])], "g string, t array<string>")
+    got = rows(terms.top_terms(df, F.col("t"), ["g"], 1, at_least=3))
+    assert got == [("a", "x", 2, 1)]
+    assert len(rows(terms.top_terms(df, F.col("t"), ["g"], 5))) == 3
+
+
+def test_grid_and_missing_vectors(spark):
+    df = spark.createDataFrame([("s", "r1", "c1"), ("s", "r2", "c2"), ("s", "r2", None), ("t", "r1", "c3")], "s string, r string, c string")
+    grid = rows(rollups.dense_grid(df, "s", "r", "c", F.count(F.lit(1)), "n"))
+    assert grid == [("s", "r1", "c1", 1), ("s", "r1", "c2", 0), ("s", "r2", "c1", 0), ("s", "r2", "c2", 1), ("t", "r1", "c3", 1)]
+    hashes = spark.createDataFrame([("h1", 1), ("h1", 2), ("h2", 3)], "content_hash string, k int")
+    assert rows(incremental.missing_vectors(hashes, hashes.filter("k = 3"))) == [("h1",)]

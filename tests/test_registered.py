@@ -2,6 +2,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_oracles import compare, connect
+from speechmill.plans.catalog import all_queries, all_sql
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def connection():
 
 def test_names_agree():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"lda_topics"}
+    assert set(all_queries()) - set(all_sql()) == {"lda_topics"}
 
 
 def test_entry(spark):

@@ -26,7 +26,7 @@ def line(session, order, name, text, party=None):
 def root(tmp_path):
     cols = list(speeches.SPEECH_COLUMNS)
     write(tmp_path / "제415회" / "제1차_minutes_speeches.csv", [*cols, "party"], [line(415, 1, "용혜인", '첫 줄\n"둘째" 줄, 끝', "기본소득당"), line(415, 2, "아무개", "", "미분류")])
-    write(tmp_path / "제416회" / "제2호_minutes_speeches.csv", cols, [line(416, 1, "신정훈", "발언")])
+    write(tmp_path / "제416회" / "제2호_minutes_speeches.csv", cols, [line(416, 1, "신정훈", "발언"), line(416, "셋", "신정훈", "순번 없음")])
     write(tmp_path / "제415회" / "제1차_minutes_header_summary.csv", speeches.HEADER_COLUMNS, [[415, "임시회", "제1차", "d", "일시", "", "d"], [415, "임시회", "제1차", "d", "의사일정", 1, "업무보고"]])
     (tmp_path / "other").mkdir()
     return str(tmp_path)
@@ -35,7 +35,8 @@ def root(tmp_path):
 def test_read_speeches(spark, root):
     df = speeches.read_speeches(spark, root)
     got = {(r["session_name"], r["speech_order"]): r for r in df.collect()}
-    assert set(got) == {("제415회", 1), ("제415회", 2), ("제416회", 1)}
+    assert set(got) == {("제415회", 1), ("제415회", 2), ("제416회", 1), ("제416회", None)}
+    assert [tuple(r) for r in speeches.unordered_rows(df).collect()] == [("제416회", "제2호_minutes_speeches.csv", 1)]
     assert got[("제415회", 1)]["speech_text"] == '첫 줄\n"둘째" 줄, 끝'
     assert got[("제415회", 1)]["file_name"] == "제1차_minutes_speeches.csv"
     assert got[("제415회", 1)]["session"] == 415
@@ -44,7 +45,7 @@ def test_read_speeches(spark, root):
 
 
 def test_one_session(spark, root):
-    assert speeches.read_session(spark, root, "제416회").count() == 1
+    assert speeches.read_session(spark, root, "제416회").count() == 2
     with pytest.raises(FileNotFoundError):
         speeches.read_session(spark, root, "제499회")
 
