@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scores", "speeches", "words", "dialogues", "pages", "studies", "upkeep")
+MODULES = ("scores", "speeches", "words", "dialogues", "pages", "studies", "upkeep", "stored")
 
 
 def _merged(attribute: str) -> dict:

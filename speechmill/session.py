@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of this run that the driver and all executors see."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Use every core when a scan has fewer tasks than the cluster has cores.
 

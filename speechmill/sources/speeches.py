@@ -21,6 +21,10 @@ SPEECH_COLUMNS = (
 INTEGERS = ("session", "speech_order", "item_order")
 HEADER_COLUMNS = ("session", "session_type", "meeting_no", "date", "section", "item_order", "item_text")
 
+SESSION_KEY, MEETING_KEY = "session_key", "meeting_key"
+#: Folders of :func:`write_partitioned`, as the ``session`` to read.
+PARTITIONED = f"{SESSION_KEY}=*/{MEETING_KEY}=*"
+
 
 def schema_of(columns: Sequence[str]) -> str:
     return ", ".join(f"{c} {'int' if c in INTEGERS else 'string'}" for c in columns)
@@ -45,11 +49,15 @@ def _read_csv(spark: SparkSession, paths: Sequence[str], columns: Sequence[str])
 
 
 def with_provenance(df: DataFrame) -> DataFrame:
-    """Session name and file name out of the path of the file a row came from."""
+    """Session name and file name out of the path of the file a row came from.
+
+    The session's folder is the one above the file, or above the meeting's as :func:`write_partitioned`
+    lays them out.
+    """
     path = F.url_decode(F.col("_metadata.file_path"))
     return df.select(
         "*",
-        F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("session_name"),
+        F.regexp_extract(path, rf"(?:{SESSION_KEY}=)?([^/]+?)(?:/{MEETING_KEY}=[^/]*)?/[^/]+$", 1).alias("session_name"),
         F.regexp_extract(path, r"([^/]+)$", 1).alias("file_name"),
     )
 
@@ -104,23 +112,31 @@ def party_dimension(spark: SparkSession) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, kind: str) -> None:
-    """CSV files below ``session=…/meeting_no=…``; a missing key becomes ``unknown``.
+    """CSV files below ``session_key=…/meeting_key=…``; a missing key becomes ``unknown``.
 
     Rows are brought together by their folder and, inside it, by order range, so a folder that
-    holds much of the data is written by several tasks.
+    holds much of the data is written by several tasks. Files have the fixed columns in their order,
+    as readers take them by position: absent ones null, a party only if ``df`` has one. They are
+    named after their kind and keep white space around values (an empty text is read as null), so
+    ``read_speeches(spark, f"{path}/speeches", session=PARTITIONED)`` gives the same rows back.
     """
     unknown = F.lit(values.UNKNOWN)
     order = "speech_order" if kind == "speeches" else "item_order"
-    keyed = df.withColumn("session_key", F.coalesce(F.col("session").cast("string"), unknown)).withColumn(
-        "meeting_key", F.coalesce(blank_to_null(path_safe(F.col("meeting_no"))), unknown)
+    columns = HEADER_COLUMNS if kind == "headers" else SPEECH_COLUMNS + (("party",) if "party" in df.columns else ())
+    fixed = df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in columns])
+    keyed = fixed.withColumn(SESSION_KEY, F.coalesce(F.col("session").cast("string"), unknown)).withColumn(
+        MEETING_KEY, F.coalesce(blank_to_null(path_safe(F.col("meeting_no"))), unknown)
     )
     (
-        keyed.repartitionByRange("session_key", "meeting_key", order)
-        .sortWithinPartitions("session_key", "meeting_key", order)
+        keyed.repartitionByRange(SESSION_KEY, MEETING_KEY, order)
+        .sortWithinPartitions(SESSION_KEY, MEETING_KEY, order)
         .write.mode("overwrite")
-        .partitionBy("session_key", "meeting_key")
+        .partitionBy(SESSION_KEY, MEETING_KEY)
         .option("header", True)
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .option("mapreduce.output.basename", kind)
         .csv(f"{path}/{kind}")
     )
 

@@ -62,6 +62,17 @@ def test_headers_and_enriched_copy(spark, root, tmp_path):
     assert {(r["speaker_name"], r["party"]) for r in back.collect()} == {("용혜인", "기본소득당"), ("아무개", "미분류"), ("신정훈", "더불어민주당")}
     assert {r["meeting_key"] for r in back.collect()} == {"제1차"}
     assert spark.read.option("header", True).csv(f"{out}/headers").count() == 2
+    again = speeches.read_speeches(spark, f"{out}/speeches", session=speeches.PARTITIONED)
+    assert {(r["session_name"], r["speech_order"], r["party"]) for r in again.collect()} >= {("415", 1, "기본소득당"), ("416", 1, "더불어민주당")}
+
+
+def test_written_texts_keep_their_white_space(spark, tmp_path):
+    texts = [" a\n", "\t", "", None, 'q "x", y\r\n z ', "back\\slash\\"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "speech_order int, speech_text string")
+    rows = rows.selectExpr("415 as session", "cast(null as string) as meeting_no", "*")
+    speeches.write_partitioned(rows, str(tmp_path), "speeches")
+    back = speeches.read_speeches(spark, f"{tmp_path}/speeches", with_party=False, session=speeches.PARTITIONED)
+    assert {(r["speech_order"], r["speech_text"]) for r in back.collect()} == {(i, t or None) for i, t in enumerate(texts)}
 
 
 def test_union_of_different_files(spark):
