@@ -51,6 +51,20 @@ LISTED_POSITION = (
 )
 
 
+def is_readable(answer: Column) -> Column:
+    """Whether an answer is a whole JSON object."""
+    return F.json_object_keys(answer).isNotNull()
+
+
+def unreadable_sessions(*answers: DataFrame, session: str = "session_name", answer: str = "answer") -> DataFrame:
+    """``session_name, answers`` of the sessions with answers that cannot be read, and how many of theirs."""
+    bad = [a.filter(~is_readable(F.col(answer))).select(F.col(session).alias("session_name")) for a in answers]
+    rows = bad[0]
+    for more in bad[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("session_name").agg(F.count(F.lit(1)).alias("answers"))
+
+
 def summary_rows(answers: DataFrame, session: str = "session_name", answer: str = "answer") -> DataFrame:
     """One row per session summary, with defaults for what the answer lacks."""
     rows = answers.select(F.col(session).alias("_asked"), parsed(F.col(answer), SUMMARY_ANSWER).alias("a"))
@@ -149,20 +163,34 @@ def position_summary_text(summary: Column, key_points: Column, concerns: Column,
 # --- rows to store --------------------------------------------------------------------------------
 
 
-def session_records(summaries: DataFrame, totals: DataFrame, digests: DataFrame, version: str) -> DataFrame:
-    """Rows of the session table."""
+def session_records(
+    summaries: DataFrame, totals: DataFrame, digests: DataFrame, version: str, metrics: DataFrame | None = None, whole: bool = False
+) -> DataFrame:
+    """Rows of the session table.
+
+    The metadata tell the counts; ``whole`` adds the summary, and ``metrics`` (of
+    :func:`qa_metric_rows`) the question-answer metrics, of the sessions that have them.
+    """
     text = session_summary_text(F.col("raw_summary"), F.col("key_issues"))
+    details = []
+    rows = totals.join(digests, "session_name").join(summaries.withColumn("_summary", F.lit(True)), "session_name", "left")
+    if whole:
+        others = F.struct(F.col("party_views").alias("party_positions_overview"), "major_conflicts", "key_events")
+        summary = F.struct("session_name", "key_issues", "overall_sentiment", "raw_summary", others.alias("metadata"))
+        details.append(F.when(F.col("_summary"), summary).alias("session_summary"))
+    if metrics is not None:
+        given = metrics.select("session_name", F.struct(*metrics.columns).alias("qa_metrics"))
+        rows = rows.join(given, "session_name", "left")
+        details.append(F.col("qa_metrics"))
     return (
-        totals.join(digests, "session_name")
-        .join(summaries, "session_name", "left")
-        .select(
+        rows.select(
             natural_key(F.lit("session"), F.col("session_name")).alias("session_id"),
             "session_name",
             "hash_digest",
             F.lit(version).alias("analysis_version"),
             blank_to_null(text).alias("summary_text"),
             F.to_json(
-                F.struct("total_speeches", "quality_speeches", F.lit(version).alias("analysis_version"))
+                F.struct("total_speeches", "quality_speeches", F.lit(version).alias("analysis_version"), *details)
             ).alias("metadata"),
         )
     )

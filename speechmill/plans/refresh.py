@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechmill import values
@@ -63,6 +63,34 @@ def issue_trend_records(speeches: DataFrame, issues: Lexicon = ISSUES, mood: Lex
     )
 
 
+def with_vectors(rows: DataFrame, vectors: DataFrame, **columns: str) -> DataFrame:
+    """Add the stored vector of each text column, ``vector=text``; null where there is none."""
+    for out, text in columns.items():
+        hashed = rows.withColumn("content_hash", F.sha2(F.col(text), 256))
+        rows = incremental.attach_vectors(hashed, vectors).withColumnRenamed("embedding", out).drop("content_hash")
+    return rows
+
+
+#: Vector columns of the stored tables and the texts they stand for.
+VECTORS = {
+    "sessions": {"summary_embedding": "summary_text"},
+    "agenda_items": {"summary_embedding": "summary_text"},
+    "party_positions": {"stance_embedding": "summary_text"},
+    "qa_interactions": {"question_embedding": "question_text", "answer_embedding": "answer_text"},
+}
+
+
+def texts_without_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """``content_hash, content`` of the stored texts that still lack their vector, each once."""
+    found = None
+    for table, columns in (VECTORS | {"documents_rag": {"embedding": "content"}}).items():
+        rows = tables.read_table(spark, table, root)
+        for vector, text in columns.items():
+            lacking = rows.filter(F.col(vector).isNull() & (F.col(text) != "")).select(F.sha2(F.col(text), 256).alias("content_hash"), F.col(text).alias("content"))
+            found = lacking if found is None else found.unionByName(lacking)
+    return found.groupBy("content_hash").agg(F.min("content").alias("content"))
+
+
 def store(
     speeches: DataFrame,
     worklist: DataFrame,
@@ -71,15 +99,21 @@ def store(
     vectors: DataFrame,
     root: str,
     version: str,
-) -> None:
+    qa_answers: DataFrame | None = None,
+) -> DataFrame:
     """Replace the rows of all changed sessions in every table.
 
+    Sessions with an answer that cannot be read are set aside: their stored rows stay as they were, so
+    the next run takes them up again. They are returned with the number of such answers.
+
     Each stage runs once for all of them with the session as a key. A table's partitions are
     replaced as a whole, so running this again stores the same rows. The work list, one row per
     session, is checkpointed first: it is used by every stage and may come from the stored sessions.
     """
     ensure_checkpoint_dir(worklist.sparkSession)
-    worklist = worklist.checkpoint()
+    aside = answers.unreadable_sessions(session_answers, agenda_answers, *([qa_answers] if qa_answers is not None else []))
+    aside = aside.join(worklist.filter(F.col("reason") != "unchanged"), "session_name", "left_semi").checkpoint()
+    worklist = worklist.join(aside, "session_name", "left_anti").checkpoint()
     rows = incremental.changed_rows(speeches, worklist)
     totals = rows.groupBy("session_name").agg(
         F.count(F.lit(1)).alias("total_speeches"),
@@ -89,9 +123,11 @@ def store(
     given = incremental.changed_rows(agenda_answers, worklist)
     agendas = answers.agenda_records(answers.agenda_rows(given))
     positions = answers.position_rows(given)
-    found = pairs(speeches, worklist)
+    # Three tables are made from the pairs.
+    found = pairs(speeches, worklist).checkpoint()
     digests = worklist.select("session_name", "hash_digest")
-    sessions = answers.session_records(summaries, totals, digests, version)
+    metrics = None if qa_answers is None else answers.qa_metric_rows(incremental.changed_rows(qa_answers, worklist), found)
+    sessions = answers.session_records(summaries, totals, digests, version, metrics, whole=True)
     documents = (
         chunks.summary_documents(summaries)
         .unionByName(chunks.position_documents(positions, agendas))
@@ -107,4 +143,6 @@ def store(
         # The session row carries the digest, so it is written when everything else is in place.
         ("sessions", sessions),
     ):
-        tables.replace_sessions(frame, table, root, worklist.filter(F.col("reason") != "unchanged"))
+        full = with_vectors(frame, vectors, **VECTORS.get(table, {}))
+        tables.replace_sessions(full, table, root, worklist.filter(F.col("reason") != "unchanged"))
+    return aside

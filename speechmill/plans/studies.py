@@ -256,6 +256,40 @@ def session_records(spark, sf):
     return rows.select("session_id", "session_name", "analysis_version", "summary_text", "metadata")
 
 
+def stored_session_metadata(spark, sf):
+    """What a stored session tells of its summary and its questions and answers, read back from the metadata."""
+    from speechmill.plans.upkeep import digests
+
+    totals = speech_facts(spark, sf).groupBy("session_name").agg(F.count(F.lit(1)).alias("total_speeches"), F.lit(0).alias("quality_speeches"))
+    metrics = answers.qa_metric_rows(qa_metric_answers(spark, sf), pairs(spark, sf))
+    rows = answers.session_records(answers.summary_rows(summary_answers(spark, sf)), totals, digests(spark, sf), "v1", metrics, whole=True)
+    schema = (
+        f"total_speeches long, session_summary struct<raw_summary:string,key_issues:array<{answers.ISSUE}>,metadata:struct<"
+        f"party_positions_overview:map<string,{answers.PARTY_VIEW}>,key_events:array<{answers.EVENT}>>>, "
+        "qa_metrics struct<total_qa_pairs:int,quality_distribution:map<string,string>>"
+    )
+    m = rows.select("session_name", F.from_json("metadata", schema).alias("m"))
+    return m.select(
+        "session_name",
+        "m.total_speeches",
+        F.col("m.session_summary.key_issues")[0]["issue"].alias("first_issue"),
+        F.coalesce("m.session_summary.raw_summary", F.lit("")).alias("raw_summary"),
+        F.size("m.session_summary.metadata.party_positions_overview").alias("parties"),
+        F.size("m.session_summary.metadata.key_events").alias("events"),
+        F.coalesce("m.qa_metrics.total_qa_pairs", F.lit(-1)).alias("total_qa_pairs"),
+        F.coalesce(F.col("m.qa_metrics.quality_distribution")["high"], F.lit("")).alias("high"),
+    )
+
+
+def unreadable_answers(spark, sf):
+    """Sessions whose answers were cut off or are no JSON; of the agendas' answers, every one of a session."""
+    number = F.regexp_extract("session_name", r"(\d+)", 1).cast("int")
+    broken = F.when(number % 4 == 1, F.expr("left(answer, length(answer) - 1)")).when(number % 4 == 2, "not json{").otherwise(F.col("answer"))
+    summaries = summary_answers(spark, sf).withColumn("answer", broken)
+    agendas = agenda_answers(spark, sf).withColumn("answer", F.when(number % 4 == 3, F.lit("[1]")).otherwise(F.col("answer")))
+    return answers.unreadable_sessions(summaries, agendas)
+
+
 def summary_documents(spark, sf):
     docs = chunks.summary_documents(answers.summary_rows(summary_answers(spark, sf)))
     return docs.select("source_id", F.md5("text").alias("digest"), F.col("metadata")["source_type"].alias("source_type"))
@@ -289,7 +323,7 @@ def qa_chunks(spark, sf):
     return chunks.rag_rows(cut).select("document_id", "source_type", "source_id", "chunk_index", "content_hash")
 
 
-def qa_metrics(spark, sf):
+def qa_metric_answers(spark, sf):
     """Metrics per session; the service left the pair count out and gave no name for some."""
     counted = pairs(spark, sf).groupBy("session_name").agg(F.count(F.lit(1)).alias("n"))
     body = F.struct(
@@ -297,8 +331,11 @@ def qa_metrics(spark, sf):
         F.create_map(F.lit("high"), F.lit("40%")).alias("quality_distribution"),
         F.array(F.lit("shorter")).alias("improvement_suggestions"),
     )
-    given = counted.select("session_name", F.to_json(body).alias("answer"))
-    return answers.qa_metric_rows(given, pairs(spark, sf)).select(
+    return counted.select("session_name", F.to_json(body).alias("answer"))
+
+
+def qa_metrics(spark, sf):
+    return answers.qa_metric_rows(qa_metric_answers(spark, sf), pairs(spark, sf)).select(
         "session_name",
         "total_qa_pairs",
         F.col("quality_distribution")["high"].alias("high"),
@@ -344,7 +381,8 @@ def conflict_edges(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        position_rows, document_positions, agenda_records, position_records, summary_rows, session_records,
+        position_rows, document_positions, agenda_records, position_records, summary_rows, session_records, stored_session_metadata,
+        unreadable_answers,
         summary_documents, position_documents, qa_records, qa_documents, qa_chunks, qa_metrics, document_tiles,
         document_issues, concern_counts, quality_shares, stance_matrix, conflict_nodes, conflict_edges,
     )
@@ -385,6 +423,9 @@ _QA = f"""{_ACROSS}, x AS (SELECT *, {_key("'qa'", 'session_name', 'file_name',
 doc AS (SELECT *, 'session::' || session_name || '::qa::' || i AS source_id, '[질문자] ' || speaker_name || ' (' || party || ')' || {_NL} || '[질문]' || {_NL} || q || {_NL} || {_NL}
   || '[답변자] ' || answerer || ' (' || answer_party || ')' || {_NL} || '[답변]' || {_NL} || a AS text FROM x)"""
 
+_METRICS = f"""{_ACROSS} SELECT session_name, count(*) + CASE WHEN count(*) % 2 = 0 THEN 1 ELSE 0 END AS total_qa_pairs, '40%' AS high, 0 AS types, 1 AS suggestions
+FROM pairs GROUP BY session_name"""
+
 SQL = {
     "position_rows": f"{_POS} SELECT * FROM pos",
     "document_positions": f"{_POS} SELECT * FROM pos",
@@ -418,8 +459,12 @@ FROM pos p JOIN rec r USING (session_name, agenda_title)""",
 c AS (SELECT source_id, t, unnest(CASE WHEN length(t) <= 800 THEN [0] ELSE range(0, length(t), 700) END) AS st FROM s)
 SELECT {_key('source_id', 'CAST(st // 700 AS VARCHAR)')} AS document_id, 'qa_pair' AS source_type, source_id, st // 700 AS chunk_index,
   sha256(substring(t, CAST(st + 1 AS INTEGER), 800)) AS content_hash FROM c""",
-    "qa_metrics": f"""{_ACROSS} SELECT session_name, count(*) + CASE WHEN count(*) % 2 = 0 THEN 1 ELSE 0 END AS total_qa_pairs, '40%' AS high, 0 AS types, 1 AS suggestions
-FROM pairs GROUP BY session_name""",
+    "qa_metrics": _METRICS,
+    "stored_session_metadata": f"""{_SUM} SELECT t.session_name, n AS total_speeches, (SELECT issue FROM iss i WHERE i.session_name = t.session_name AND rk = 1) AS first_issue,
+  CASE WHEN n % 2 = 0 THEN 'about ' || t.session_name ELSE '' END AS raw_summary, (SELECT count(*) FROM pv p WHERE p.session_name = t.session_name) AS parties,
+  1 AS events, coalesce(m.total_qa_pairs, -1) AS total_qa_pairs, coalesce(m.high, '') AS high FROM tot t LEFT JOIN ({_METRICS}) m USING (session_name)""",
+    "unreadable_answers": f"""WITH {ds.SPEECH_SQL} SELECT session_name, CASE WHEN session % 4 = 3 THEN count(DISTINCT agenda_item_titles) ELSE 1 END AS answers
+FROM speech WHERE session % 4 <> 0 GROUP BY session_name, session""",
     "document_tiles": f"""{_SUM} SELECT t.session_name, n AS total_speeches, n - 1 AS quality_speeches,
   (SELECT count(*) FROM iss i WHERE i.session_name = t.session_name) AS issues, n AS qa_pairs FROM tot t""",
     "document_issues": f"""{_SUM} SELECT session_name, rk - 1 AS pos, issue, CASE rk WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 2 END AS importance,

@@ -69,3 +69,33 @@ def test_second_run_changes_nothing(spark, tmp_path):
     assert {k: len(v) for k, v in after.items()} == {k: len(v) for k, v in before.items()}
     kept = tables.read_table(spark, "qa_interactions", root).filter(F.col("session_name") == "제416회")
     assert kept.filter(~F.contains("question_text", F.lit("새로운 말"))).count() == 0
+
+
+def test_changed_session_loses_rows_and_bad_answers_wait(spark, tmp_path):
+    root = str(tmp_path)
+    nothing = spark.createDataFrame([], tables.TABLES["sessions"])
+    session, agenda = answer_tables(spark)
+    vectors = session.limit(1).select(F.sha2(F.lit("긴 논의"), 256).alias("content_hash"), F.array(F.lit(0.5)).cast("array<float>").alias("embedding"))
+    metrics = session.withColumn("answer", F.lit('{"total_qa_pairs": 9, "quality_distribution": {"high": "40%"}}'))
+    first = refresh.changed_sessions(speeches(spark), nothing, "v1")
+    assert refresh.store(speeches(spark), first, session, agenda, vectors, root, "v1", metrics).count() == 0
+
+    stored = {r["session_name"]: r for r in tables.read_table(spark, "sessions", root).collect()}
+    assert all(r["summary_embedding"] == [0.5] for r in stored.values())
+    told = json.loads(stored["제415회"]["metadata"])
+    assert told["session_summary"]["raw_summary"] == "긴 논의" and told["qa_metrics"]["total_qa_pairs"] == 9
+    missing = {r["content"] for r in refresh.texts_without_vectors(spark, root).collect()}
+    assert "긴 논의" not in missing and {"요약", "대책 부족"} <= missing
+
+    # Session 416 now has neither pairs nor issues, agendas nor positions.
+    bare = speeches(spark).withColumn("speech_text", F.when(F.col("session") == 416, "짧은 말").otherwise(F.col("speech_text")))
+    later = refresh.changed_sessions(bare, tables.read_table(spark, "sessions", root), "v1")
+    here = F.col("session_name") == "제416회"
+    cut = session.withColumn("answer", F.when(here, F.lit('{"key_issues": [')).otherwise(F.col("answer")))
+    before = contents(spark, root, "v1")
+    aside = refresh.store(bare, later, cut, agenda.filter(~here), vectors, root, "v1")
+    assert [tuple(r) for r in aside.collect()] == [("제416회", 1)] and contents(spark, root, "v1") == before
+
+    refresh.store(bare, later, session.filter(~here), agenda.filter(~here), vectors, root, "v1")
+    left = {name: {r["session_name"] for r in tables.read_table(spark, name, root).select("session_name").collect()} for name in tables.TABLES}
+    assert left.pop("sessions") == {"제415회", "제416회"} and set(map(frozenset, left.values())) == {frozenset({"제415회"})}
