@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Pieces in each of the two generations that a codec remembers.
 CACHED_PIECES = 150_000
 LONGEST_CACHED = 64
 #: A space before something that is not white space always begins a pre-token, so texts may be cut there.
@@ -116,8 +117,9 @@ class Codec:
         self.vocabulary = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.vocabulary[rank] = token
-        self.pieces: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.vocabulary))]
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _packed(self, parts: list[str]) -> dict[str, bytes]:
         """Little-endian ids of distinct pre-tokens: the perfect hash first, the heap for the rest."""
@@ -125,39 +127,39 @@ class Codec:
         out = {}
         for part, data, slot in zip(parts, raw, self.hash.numbers(raw).tolist(), strict=True):
             if slot >= 0 and self.keys[slot] == data:
-                out[part] = int(self.ids[slot]).to_bytes(4, "little")
+                out[part] = self.packed[self.ids[slot]]
             else:
-                out[part] = np.array(merged(data, self.ranks), dtype="<u4").tobytes()
+                out[part] = b"".join([self.packed[i] for i in merged(data, self.ranks)])
         return out
 
-    def _fill(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces; a piece is one or more whole pre-tokens."""
-        split = {p: self.pattern.findall(p) for p in pieces}
-        fresh = {x for parts in split.values() for x in parts}.difference(self.parts)
-        if len(self.parts) > CACHED_PIECES:
-            self.parts.clear()
-            fresh = {x for parts in split.values() for x in parts}
-        self.parts |= self._packed(list(fresh))
-        known = self.parts
-        out = {p: b"".join([known[x] for x in parts]) for p, parts in split.items()}
-        for part in fresh:
-            if len(part) > LONGEST_CACHED:
-                del known[part]
-        return out
+    def _recall(self, wanted: set[str]) -> set[str]:
+        """Bring pieces of the older generation back into the recent one; returns those that neither has."""
+        missing = wanted.difference(self.recent)
+        kept = missing.intersection(self.older)
+        self.recent.update((p, self.older[p]) for p in kept)
+        return missing - kept
+
+    def _fill(self, pieces: set[str]) -> None:
+        """Remember the ids of all ``pieces``; a piece is one or more whole pre-tokens."""
+        split = {p: self.pattern.findall(p) for p in self._recall(pieces)}
+        self.recent |= self._packed(list(self._recall({x for parts in split.values() for x in parts})))
+        known = self.recent
+        known.update((p, b"".join([known[x] for x in parts])) for p, parts in split.items() if parts != [p])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        if len(self.pieces) > CACHED_PIECES:
-            self.pieces.clear()
-        known = self.pieces
+        """The ids of each text as little-endian 32-bit integers.
+
+        When the recent generation is full it becomes the older one, so frequent pieces, which are
+        recalled, outlast rare ones.
+        """
         cut = [CUT.split(t) for t in texts]
         for parts in cut:
             parts[1:] = [" " + p for p in parts[1:]]
-        known |= (fresh := self._fill({p for parts in cut for p in parts}.difference(known)))
-        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
-        for piece in fresh:
-            if len(piece) > LONGEST_CACHED:
-                del known[piece]
+        self._fill(set().union(*cut))
+        out = [b"".join(map(self.recent.__getitem__, parts)) for parts in cut]
+        if len(self.recent) > CACHED_PIECES:
+            self.older = {p: ids for p, ids in self.recent.items() if len(p) <= LONGEST_CACHED}
+            self.recent = {}
         return out
 
     def decode(self, ids: bytes) -> bytes:
