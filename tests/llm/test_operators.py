@@ -235,3 +235,48 @@ def test_fixity(spark):
     found = {(r["record_id"], r["status"]) for r in merkle.fixity_audit(good, bad, range_bits=6, fan_bits=1, levels=3).collect()}
     assert found == {(17, "changed"), (399, "missing")}
     assert merkle.fixity_audit(good, good).count() == 0 == merkle.fixity_audit(good.limit(0), bad.limit(0)).count()
+
+
+def test_every_allowed_pattern_leaves_a_seed():
+    from itertools import combinations
+
+    for width in range(1, 21):
+        masks = decontaminate.masks_of(width, 80)
+        fits = [sum(1 << p + at for p in mask) for mask in masks for at in range(width - mask[-1])]
+        assert all(mask[0] == 0 for mask in masks)
+        for differing in combinations(range(width), width * 20 // 100):
+            places = sum(1 << p for p in differing)
+            assert any(not fit & places for fit in fits), (width, differing)
+
+
+def test_leaks_are_those_of_brute_force(spark):
+    few = random.Random(11)
+    names = [f"w{i}" for i in range(60)]
+    items = [[few.choice(names) for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 15, 15, 16, 17, 19, 20, 21, 33, 59, 90)]
+    texts = [[few.choice(names) for _ in range(few.randint(0, 40))] for _ in range(30)]
+    for item in items:
+        for _ in range(8):
+            at = few.randint(0, max(0, len(item) - 20))
+            part = item[at : at + 20]
+            for p in few.sample(range(len(part)), min(len(part), len(part) // 5 + few.randint(0, 1))):
+                part[p] = "zz"
+            texts.append([few.choice(names) for _ in range(few.randint(0, 9))] + part + [few.choice(names) for _ in range(few.randint(0, 9))])
+    # Lost before: a 15-word item with words 6 and 8 changed, a 20-word run with 1, 4, 11 and 13, and a short item copied whole.
+    for item, places in ((items[12], (6, 8)), (items[17], (1, 4, 11, 13)), (items[5], ())):
+        texts.append(["zz" if p in places else w for p, w in enumerate(item)])
+    want = {}
+    for d, doc in enumerate(texts):
+        for i, item in enumerate(items):
+            width = min(20, len(item))
+            for shift in range(-len(item), len(doc) + 1):
+                equal = [0 <= p + shift < len(doc) and doc[p + shift] == w for p, w in enumerate(item)]
+                most = max(sum(equal[k : k + width]) for k in range(len(item) - width + 1))
+                if 100 * most >= 80 * width and most > want.get((d, i), (0, 0))[0]:
+                    want[d, i] = (most, width)
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["width"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == want and {(len(texts) - 3, 12), (len(texts) - 2, 17), (len(texts) - 1, 5)} <= set(want)
+    long = bench.filter("item_id >= 4")
+    left = {r["doc_id"] for r in decontaminate.drop_leaks(docs, long).collect()}
+    assert left == set(range(len(texts))) - {d for d, i in want if i >= 4}
