@@ -39,7 +39,10 @@ CUT = re.compile(r" (?=\S)")
 class Encoder:
     """Ids of whole texts from the tokenizers library, which sees every distinct word once.
 
-    Byte-level BPE merges within words only, so a text's ids are those of its words in order.
+    Byte-level BPE merges within words only, so a text's ids are those of its words in order. Added
+    tokens that stand in a text get their own id, as in the library's plain call; they part the text
+    before it is cut at spaces. With added tokens of other rules (white space around them, whole
+    words, normalised text) texts are not cut.
     """
 
     def __init__(self, path: str):
@@ -47,7 +50,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
+        added = self.tool.get_added_tokens_decoder()
+        self.whole = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.marks = {t.content: struct.pack("<I", i) for i, t in added.items()}
+        # Of tokens that begin at one place the library takes the longest.
+        self.marked = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")")
         self.known: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -55,6 +62,15 @@ class Encoder:
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in got)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.whole:
+            return self._plain(texts)
+        if not any(mark in t for mark in self.marks for t in texts):
+            return self._by_word(texts)
+        parted = [self.marked.split(t) for t in texts]
+        between = iter(self._by_word([part for parts in parted for part in parts[::2]]))
+        return [b"".join(self.marks[part] if k % 2 else next(between) for k, part in enumerate(parts)) for parts in parted]
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED_PIECES:
             self.known.clear()
         known = self.known
@@ -127,7 +143,8 @@ def train(docs: DataFrame, tokenizer: str, sample: int = SAMPLE) -> bytes:
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """Encode, compress and write all documents; returns the manifest, one row per shard.
 
-    Ids of one document are its tokens and ``end_id``, as little-endian unsigned 32-bit integers.
+    Ids of one document are its tokens and ``end_id``, as little-endian unsigned 32-bit integers. An
+    added token that stands in a text, such as one for the end of a text, is encoded as that token.
     Shards are ranges of doc_id in order, null ids first; equal ids are ordered by text hash. Null
     text counts as empty and holds the end id alone. An empty table gives an empty manifest.
     """

@@ -280,3 +280,31 @@ def test_leaks_are_those_of_brute_force(spark):
     long = bench.filter("item_id >= 4")
     left = {r["doc_id"] for r in decontaminate.drop_leaks(docs, long).collect()}
     assert left == set(range(len(texts))) - {d for d, i in want if i >= 4}
+
+
+MARKED = ["end <|endoftext|> start", "a  <|endoftext|>  b", "<|endoftext|>", "<|endoftext|><|endoftext|> x <|endoftext|>", "\n <|endoftext|>\n\n y", "x<|endoftext|>y <|endoftext", "<|endof<|endoftext|>text|> z ", "plain words only", ""]
+
+
+def test_token_shards_with_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path, folder = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/marked"
+    docs = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    got = token_store.read_shards(token_store.write_shards(docs, path, folder), folder).orderBy("start").collect()
+    tool, start = Tokenizer.from_file(path), 0
+    for row, (i, t) in zip(got, enumerate(MARKED), strict=True):
+        ids = [*tool.encode(t, add_special_tokens=False).ids, 0]
+        assert tuple(row) == (i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        start += len(ids)
+    assert tool.encode(MARKED[0], add_special_tokens=False).ids == [437, 220, 50256, 923]
+
+
+@pytest.mark.parametrize("rule", [{}, {"lstrip": True}, {"rstrip": True}, {"single_word": True}, {"normalized": True}])
+def test_encoder_with_other_added_tokens(tmp_path, rule):
+    from tokenizers import AddedToken, Tokenizer
+
+    tool, path = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), f"{tmp_path}/more.json"
+    tool.add_tokens([AddedToken("<|endof", **{"normalized": False} | rule), AddedToken("<|endoftext|>!", normalized=False)])
+    tool.save(path)
+    texts = [*MARKED, "so <|endof  text <|endoftext|>! <|endoftext|> x", "z<|endof"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in token_store.Encoder(path)(texts)] == [tool.encode(t, add_special_tokens=False).ids for t in texts]
