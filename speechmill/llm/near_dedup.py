@@ -289,28 +289,38 @@ def near_groups(
     have an empty set and stand alone. Of equal rows (same id and text) one is kept. A null id is
     smaller than none: it names a group only of null ids. An empty table gives an empty result.
     """
+    return _placed(docs, percent, words, k, bits, doc_id, text).drop("first_key")
+
+
+def _placed(docs: DataFrame, percent: int, words: int, k: int, bits: int, doc_id: str, text: str) -> DataFrame:
+    """``near_groups`` and ``first_key``, the key of the first row of the group by (doc_id, row_key)."""
     rows = stored(sketches(docs, k, words, doc_id, text), "near-sketches")
     _, roots = linked_classes(docs, rows, k, percent, words, bits, doc_id, text)
-    least = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"))
-    rooted = least.join(roots, "digest", "left").select("digest", "least_id", F.coalesce("root", "digest").alias("root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
+    least = rows.filter("n_shingles > 0").groupBy("digest").agg(first)
+    rooted = least.join(roots, "digest", "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
     rooted = stored(rooted, "near-roots")
     # Only linked classes need a look at their component; the rest are one already.
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = stored(rooted.join(named, "root").select("digest", F.col("component_id")), "near-names")
+    named = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = named.select("root", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("first_key"))
+    classes = stored(rooted.join(named, "root").select("digest", "component_id", "first_key"), "near-names")
     copies = rows.groupBy("doc_id", "row_key", "digest", "n_shingles").count()
     placed = copies.join(classes, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    each = placed.select("doc_id", "row_key", "n_shingles", component.alias("component_id"), F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy"))
+    each = placed.select("doc_id", "row_key", "n_shingles", F.coalesce("first_key", "row_key").alias("first_key"), component.alias("component_id"), F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy"))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("copy") == 1)
-    return each.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "row_key")
+    return each.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "row_key", "first_key")
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80, words: int = 5, k: int = 32, bits: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates; all columns stay as they are.
 
+    Of several rows with the group's smallest id, or of a group whose ids are all null, the one with
+    the smallest row key stays.
     Rows that are surely not dropped (their key is in no bitmap of dropped rows) are not shuffled.
     """
-    groups = stored(near_groups(docs, percent, words, k, bits, doc_id, text).select("row_key", "kept"), "near-groups")
+    one = (F.col("kept") & (F.col("row_key") == F.col("first_key"))).alias("kept")
+    groups = stored(_placed(docs, percent, words, k, bits, doc_id, text).select("row_key", one), "near-groups")
     dropped = groups.groupBy("row_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("not kept or n > 1")
     dropped = stored(dropped, "near-dropped")
     keys = stored(bitmap(dropped, "row_key", bits), "near-dropped-bits")

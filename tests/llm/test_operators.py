@@ -308,3 +308,13 @@ def test_encoder_with_other_added_tokens(tmp_path, rule):
     tool.save(path)
     texts = [*MARKED, "so <|endof  text <|endoftext|>! <|endoftext|> x", "z<|endof"]
     assert [np.frombuffer(b, "<u4").tolist() for b in token_store.Encoder(path)(texts)] == [tool.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_one_row_of_each_near_group_stays_without_distinct_ids(spark):
+    other = " ".join(reversed(LONG.split()))
+    rows = [(1, LONG), (1, changed(LONG, [50])), (2, changed(LONG, [80])), (None, other), (None, changed(other, [50]))]
+    rows += [(1, "another text under the id of a group"), (None, "a text by itself that has no id"), (3, ""), (4, None), (None, ""), (None, "")]
+    left = near_dedup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    near = [[r for r in left if tuple(r) in group] for group in (rows[:3], rows[3:5])]
+    assert [len(n) for n in near] == [1, 1] and near[0][0]["doc_id"] == 1
+    assert collections.Counter(map(tuple, left)) - collections.Counter(map(tuple, near[0] + near[1])) == collections.Counter({r: 1 for r in rows[5:]})
