@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechmill.llm import bpe, chat, credentials, decontaminate, exact_dedup, merkle, near_dedup, quality, token_store, url_model
+from speechmill.llm import align, bpe, chat, credentials, decontaminate, exact_dedup, katz, merkle, near_dedup, quality, runs, token_store, url_model
 from speechmill.llm.common import stored, table
 
 PAGES_PER_FILE = 1000
@@ -79,6 +79,22 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), percent=85).drop("row_key")
 
 
+def op11_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and pairs of words; learned from four fifths of the documents."""
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    rows = katz.scores(table(spark, sf_dir, "documents"), F.coalesce(learn, F.lit(True)), order=2)
+    held_out = F.coalesce(~learn, F.lit(False)).alias("held_out")
+    return rows.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(table(spark, sf_dir, "documents"), change=runs.planted))
+
+
+def op13_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,6 +114,9 @@ QUERIES = {
         op8_extendible_dedup,
         op9_spaced_seeds,
         op10_bottom_k,
+        op11_katz_scores,
+        op12_periodic_runs,
+        op13_lockstep_alignment,
         pipeline,
     )
 }
