@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from speechmill.llm.common import stored
 
 #: Characters of text in a batch, and pieces of text that a worker remembers.
-BATCH, CACHED_PIECES, LONGEST_CACHED = 1 << 24, 400_000, 64
+BATCH, CACHED_PIECES, LONGEST_CACHED = 5 << 20, 300_000, 64
 #: No token of either side reaches over a single space between two characters that are not white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -59,15 +59,38 @@ class Pair:
         self.size_a, self.size_b = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
         self.known: dict[str, tuple[bytes, bytes] | None] = {}
 
-    def _fresh(self, pieces: list[str]) -> None:
+    def _sliced(self, pieces: list[str]) -> bool:
+        """Learn pieces from one text that holds them all, cut at their ends; False if bytes differ."""
+        text = " " + " ".join(pieces)
+        want, ends = text.encode(), np.cumsum([len(p.encode()) + 1 for p in pieces])
+        cut = []
+        many_a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        many_b = self.b.encode(text[1:], num_threads=1)
+        for ids, vocabulary, size in ((many_a, self.bytes_a, self.size_a), (many_b, self.bytes_b, self.size_b)):
+            if b"".join(map(vocabulary.__getitem__, ids)) != want:
+                return False
+            packed = np.array(ids, "<u4")
+            to = np.searchsorted(np.cumsum(size[packed]), ends) + 1
+            cut.append((packed.tobytes(), [0, *(4 * to).tolist()]))
+        (data_a, to_a), (data_b, to_b) = cut
+        for i, piece in enumerate(pieces):
+            self.known[piece] = data_a[to_a[i] : to_a[i + 1]], data_b[to_b[i] : to_b[i + 1]]
+        return True
+
+    def _single(self, piece: str) -> None:
         """Ids of space + piece on both sides; None if the tokens' bytes are not those of the text."""
-        spaced = [" " + p for p in pieces]
-        many_a = self.a.encode_batch_fast(spaced, add_special_tokens=False)
-        many_b = self.b.encode(pieces, num_threads=1)
-        for piece, text, a, b in zip(pieces, spaced, many_a, many_b, strict=True):
-            ids, want = a.ids, text.encode()
-            same = b"".join([self.bytes_a[i] for i in ids]) == want == b"".join([self.bytes_b[i] for i in b])
-            self.known[piece] = (np.array(ids, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None
+        a, b, want = self.a.encode(" " + piece, add_special_tokens=False).ids, self.b.encode(piece), (" " + piece).encode()
+        same = b"".join([self.bytes_a[i] for i in a]) == want == b"".join([self.bytes_b[i] for i in b])
+        self.known[piece] = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None
+
+    def _fresh(self, pieces: list[str]) -> None:
+        clean = [p for p in pieces if not (self.whole or p[0].isspace() or p[-1].isspace() or len(p) > LONGEST_CACHED or "▁" in p)]
+        for start in range(0, len(clean), 1000):
+            if not self._sliced(some := clean[start : start + 1000]):
+                for piece in some:
+                    self._single(piece)
+        for piece in set(pieces).difference(clean):
+            self._single(piece)
 
     def __call__(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Packed A and B ids of each text; both empty for texts that have no tokens."""
