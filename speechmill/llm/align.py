@@ -13,6 +13,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from speechmill.llm.common import stored
 
 #: Characters of text in a batch, and pieces of text that a worker remembers.
-BATCH, CACHED_PIECES, LONGEST_CACHED = 5 << 20, 300_000, 64
+BATCH, CACHED_PIECES, LONGEST_CACHED = 3 << 20, 250_000, 64
+#: Pieces of a document that one pair of pointers goes through.
+LANE = 64
 #: No token of either side reaches over a single space between two characters that are not white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -35,8 +38,26 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
 
 
+class Texts:
+    """Tokens of some documents: ids of either side, token counts of their pieces, pieces of each document."""
+
+    def __init__(self, ids: list[np.ndarray], counts: list[np.ndarray], pieces: np.ndarray):
+        self.ids, self.counts, self.pieces = ids, counts, pieces
+
+    @staticmethod
+    def joined(parts: list[Texts]) -> Texts:
+        both = range(2)
+        return Texts([np.concatenate([p.ids[i] for p in parts]) for i in both], [np.concatenate([p.counts[i] for p in parts]) for i in both], np.concatenate([p.pieces for p in parts]))
+
+    def tokens(self, side: int) -> np.ndarray:
+        """Tokens of each document."""
+        total = np.concatenate([[0], np.cumsum(self.counts[side])])
+        ends = np.cumsum(self.pieces)
+        return total[ends] - total[ends - self.pieces]
+
+
 class Pair:
-    """Both tokenizers: ids and token sizes of pieces of text, remembered up to a bound."""
+    """Both tokenizers: ids of pieces of text in two pools, remembered up to a bound."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,56 +78,64 @@ class Pair:
         # Texts may be cut where no piece holds a space after something else.
         self.whole = any(re.search("[^▁]▁", p) for p in pieces)
         self.size_a, self.size_b = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Number 0 stands for all pieces whose bytes a side does not give back."""
+        self.known: dict[str, int] = {}
+        self.pools = [np.empty(0, "<u4"), np.empty(0, "<u4")]
+        self.counts = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
 
-    def _sliced(self, pieces: list[str]) -> bool:
-        """Learn pieces from one text that holds them all, cut at their ends; False if bytes differ."""
+    def _encoded(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Ids on either side of one text that holds all pieces, and the ids in each; None if bytes differ."""
         text = " " + " ".join(pieces)
         want, ends = text.encode(), np.cumsum([len(p.encode()) + 1 for p in pieces])
-        cut = []
+        out = []
         many_a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
         many_b = self.b.encode(text[1:], num_threads=1)
         for ids, vocabulary, size in ((many_a, self.bytes_a, self.size_a), (many_b, self.bytes_b, self.size_b)):
             if b"".join(map(vocabulary.__getitem__, ids)) != want:
-                return False
+                return None
             packed = np.array(ids, "<u4")
-            to = np.searchsorted(np.cumsum(size[packed]), ends) + 1
-            cut.append((packed.tobytes(), [0, *(4 * to).tolist()]))
-        (data_a, to_a), (data_b, to_b) = cut
-        for i, piece in enumerate(pieces):
-            self.known[piece] = data_a[to_a[i] : to_a[i + 1]], data_b[to_b[i] : to_b[i + 1]]
-        return True
-
-    def _single(self, piece: str) -> None:
-        """Ids of space + piece on both sides; None if the tokens' bytes are not those of the text."""
-        a, b, want = self.a.encode(" " + piece, add_special_tokens=False).ids, self.b.encode(piece), (" " + piece).encode()
-        same = b"".join([self.bytes_a[i] for i in a]) == want == b"".join([self.bytes_b[i] for i in b])
-        self.known[piece] = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None
-
-    def _fresh(self, pieces: list[str]) -> None:
+            out.append((packed, np.diff(np.searchsorted(np.cumsum(size[packed]), ends) + 1, prepend=0)))
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
         clean = [p for p in pieces if not (self.whole or p[0].isspace() or p[-1].isspace() or len(p) > LONGEST_CACHED or "▁" in p)]
-        for start in range(0, len(clean), 1000):
-            if not self._sliced(some := clean[start : start + 1000]):
-                for piece in some:
-                    self._single(piece)
-        for piece in set(pieces).difference(clean):
-            self._single(piece)
-
-    def __call__(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Packed A and B ids of each text; both empty for texts that have no tokens."""
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
+        groups = [clean[i : i + 1000] for i in range(0, len(clean), 1000)] + [[p] for p in set(pieces).difference(clean)]
+        found = [(group, self._encoded(group)) for group in groups]
+        # Of a group that fails as a whole each piece is tried by itself.
+        found = [x for group, both in found for x in ([(group, both)] if both or len(group) == 1 else [([p], self._encoded([p])) for p in group])]
+        for group, both in found:
+            self.known.update(dict.fromkeys(group, 0) if both is None else zip(group, range(len(self.counts[0]), len(self.counts[0]) + len(group)), strict=True))
+            for side in range(2) if both else ():
+                self.counts[side] = np.append(self.counts[side], both[side][1])
+        for side in range(2):
+            self.pools[side] = np.concatenate([self.pools[side], *[both[side][0] for _, both in found if both]])
+
+    def __call__(self, texts: list[str]) -> Texts:
+        """Both sides' tokens of each text; none for texts that a side does not give back."""
+        if len(self.known) > CACHED_PIECES or len(self.pools[0]) > 16 * CACHED_PIECES:
+            self._forget()
         cut = [([t] if self.whole else CUT.split(t)) if t else [] for t in texts]
-        fresh = list(set().union(*cut).difference(self.known))
-        self._fresh(fresh)
-        known, out = self.known, []
-        for parts in cut:
-            both = [known[p] for p in parts]
-            out.append((b"", b"") if None in both else (b"".join([x for x, _ in both]), b"".join([y for _, y in both])))
+        flat = list(chain.from_iterable(cut))
+        fresh = list(set(flat).difference(self.known))
+        self._learn(fresh)
+        number = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
         for piece in fresh:
             if len(piece) > LONGEST_CACHED:
-                del known[piece]
-        return out
+                del self.known[piece]
+        pieces = np.array([len(parts) for parts in cut], dtype=np.int64)
+        doc = np.repeat(np.arange(len(texts)), pieces)
+        bad = np.bincount(doc[number == 0], minlength=len(texts)) > 0
+        number = number[~bad[doc]]
+        ids, counts = [], []
+        for side in range(2):
+            count = self.counts[side]
+            first, n = (np.cumsum(count) - count)[number], count[number]
+            ids.append(self.pools[side][np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())])
+            counts.append(n)
+        return Texts(ids, counts, np.where(bad, 0, pieces))
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}
@@ -121,8 +150,8 @@ def pair(path_a: str, path_b: str) -> Pair:
 def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the A and the B tokens that end together, in order.
 
-    ``ends`` are byte ends within a document; document d has the places ``from[d]`` up to ``to[d]``.
-    Finished documents leave the state vector, so a step costs what is still open.
+    ``ends`` are byte ends; lane d, a document or a part of one, has the places ``from[d]`` up to ``to[d]``.
+    Finished lanes leave the state vector, so a step costs what is still open.
     """
     alive = np.flatnonzero((from_a < to_a) & (from_b < to_b))
     a, b, last_a, last_b = from_a[alive], from_b[alive], to_a[alive], to_b[alive]
@@ -190,16 +219,29 @@ def _documents(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[l
         yield ids, texts
 
 
-def _encoded(tool: Pair, texts: list[str]) -> list[tuple[bytes, bytes]]:
+def _tokens(tool: Pair, texts: list[str]) -> Texts:
     """All texts, about a megabyte at a time: a group shares its distinct pieces."""
     out, group, size = [], [], 0
     for text in texts:
         group.append(text)
         size += len(text)
         if size >= 1 << 20:
-            out += tool(group)
+            out.append(tool(group))
             group, size = [], 0
-    return out + tool(group) if group else out
+    return Texts.joined([*out, tool(group)] if group else out)
+
+
+def _lanes(texts: Texts, pieces: int = LANE) -> list[np.ndarray]:
+    """Where the lanes of all documents begin and end on side A and B.
+
+    Both sides end at the end of every piece, so a long document may take several lanes.
+    """
+    ends = np.cumsum(texts.pieces)
+    n = -(-texts.pieces // pieces)
+    begin = np.repeat(ends - texts.pieces, n) + pieces * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    end = np.minimum(begin + pieces, np.repeat(ends, n))
+    totals = [np.concatenate([[0], np.cumsum(c)]) for c in texts.counts]
+    return [t[at] for at in (begin, end) for t in totals]
 
 
 def aligned_batches(docs: DataFrame, path_a: str, path_b: str, most: int, doc_id: str, text: str) -> DataFrame:
@@ -213,13 +255,11 @@ def aligned_batches(docs: DataFrame, path_a: str, path_b: str, most: int, doc_id
         width = len(tool.bytes_b)
         digits = _decimals(max(len(tool.bytes_a), width))
         for k, (ids, texts) in enumerate(_documents(batches, most)):
-            both = _encoded(tool, texts)
-            count_a, count_b = (np.array([len(x[i]) // 4 for x in both], dtype=np.int64) for i in (0, 1))
-            ids_a, ids_b = (np.frombuffer(b"".join([x[i] for x in both]), "<u4").astype(np.int64) for i in (0, 1))
-            to_a, to_b = np.cumsum(count_a), np.cumsum(count_b)
-            ends_a, ends_b = np.cumsum(tool.size_a[ids_a]), np.cumsum(tool.size_b[ids_b])
+            some = _tokens(tool, texts)
+            (ids_a, ids_b), count_a, count_b = some.ids, some.tokens(0), some.tokens(1)
             # Both sides of a document have the same bytes, so ends counted over the whole batch agree too.
-            cut_a, cut_b = lockstep(ends_a, ends_b, to_a - count_a, to_b - count_b, to_a, to_b)
+            cut_a, cut_b = lockstep(np.cumsum(tool.size_a[ids_a]), np.cumsum(tool.size_b[ids_b]), *_lanes(some))
+            to_a = np.cumsum(count_a)
             to_cut = np.searchsorted(cut_a, to_a)
             n_groups = np.diff(to_cut, prepend=0)
             digests, parts, left = [], written_groups(ids_a, ids_b, cut_a, cut_b, digits), b""
@@ -238,7 +278,9 @@ def aligned_batches(docs: DataFrame, path_a: str, path_b: str, most: int, doc_id
                     last = piece
                 digest.update(last[:-1])
                 digests.append(digest.hexdigest())
-            pairs, links, n = np.unique(ids_a[cut_a] * width + ids_b[cut_b], return_inverse=True, return_counts=True)
+            codes = ids_a[cut_a].astype(np.int64) * width + ids_b[cut_b]
+            pairs, n = np.unique(codes, return_counts=True)
+            links = np.searchsorted(pairs, codes)
             columns = {
                 "batch": pa.array([(TaskContext.get().partitionId() << 32) + k], pa.int64()),
                 "doc_ids": pa.array([ids], pa.list_(pa.int64())),
@@ -290,7 +332,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, batch: int = BATCH, doc_id:
     (such as those with U+2581), have no tokens: zeros and ''. Special tokens' strings are plain text.
     Repeated rows give equal rows and count each time; null ids stay null; an empty table gives an empty
     result; other columns are ignored, whatever their names. A very long text is one row of a batch of
-    its own: it is held whole, and takes as many steps as it has tokens.
+    its own: it is held whole, in many lanes of the state vector.
     """
     batches = stored(aligned_batches(docs, path_a, path_b, batch, doc_id, text), "align-batches")
     wanted = batches.select("batch", F.posexplode(F.arrays_zip("ids_a", "ids_b")).alias("at", "p"))
