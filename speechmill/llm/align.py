@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from speechmill.llm.common import stored
 
 #: Characters of text in a batch, and pieces of text that a worker remembers.
-BATCH, CACHED_PIECES, LONGEST_CACHED = 3 << 20, 250_000, 64
+BATCH, CACHED_PIECES, LONGEST_CACHED = 2 << 20, 150_000, 64
 #: Pieces of a document that one pair of pointers goes through.
 LANE = 64
 #: No token of either side reaches over a single space between two characters that are not white space.
