@@ -5,10 +5,12 @@ smallest. Inverted lists of retained values generate candidates, the union sketc
 pair estimates its similarity, and the exact Jaccard similarity of the whole sets confirms it.
 
 Equal sets are one class throughout, so exact copies cost nothing beyond the first. Within a class
-of links only the components count, which keeps large groups linear: first every list is compared with one hub. Members of lists that this
-leaves in several components get lists once more, now from their whole sets, where rare values come
-first and far fewer places suffice; there the smaller components of a list are compared with all
-members of other components. No list is cut short.
+of links only the components count, which keeps large groups linear: first every list is compared with
+one hub. Members of lists that this leaves in several components get lists once more, now from their
+whole sets, where rare values come first and far fewer places suffice. There one member of each
+component of a list is compared with a hub drawn anew each turn, and linked components become one, as
+long as that gains; then the smaller components of a list are compared with all members of other
+components. No list is cut short.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechmill.llm.common import bitmap, possibly_in, stored
@@ -31,6 +33,9 @@ ROWS_AT_ONCE = 256
 ORDER_BITS = 20
 #: 64-bit words of a set's parity bits.
 PARITY = 8
+#: Turns of comparing components through hubs, at most, and the share of open entries above which the exact
+#: comparison takes over. Both change the work only: what hubs leave open is compared in full.
+HUB_ROUNDS, LEAST_GAIN = 12, 0.8
 
 
 class Shingler:
@@ -236,6 +241,53 @@ def components(links: DataFrame) -> DataFrame:
             return stored(labels, "near-labels")
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``digest, root`` after components that ``links`` join became one."""
+    name = lambda c, r: roots.select(F.col("digest").alias(c), F.col("root").alias(r))
+    between = links.join(name("a", "x"), "a").join(name("b", "y"), "b").filter("x != y")
+    joined = components(stored(between.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "near-between"))
+    moved = roots.join(joined.toDF("root", "to"), "root", "left")
+    return moved.select("digest", F.coalesce("to", "root").alias("root"))
+
+
+def _open(lists: DataFrame, roots: DataFrame, settled: int = 2) -> DataFrame:
+    """Entries of lists that hold several components, lists of ``settled`` entries left out."""
+    placed = stored(lists.join(roots, "digest"), "near-entries")
+    several = placed.groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return stored(placed.join(several.filter(f"c > {settled} and low != high").select("value"), "value", "left_semi"), "near-open")
+
+
+def _side(entries: DataFrame, x: str) -> DataFrame:
+    """Entries of exact lists as the side ``a`` or ``b`` of pairs."""
+    words = [F.col(f"p{i}").alias(f"p{x}{i}") for i in range(PARITY)]
+    return entries.select("value", F.col("digest").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), F.col("at").alias(f"at_{x}"), *words)
+
+
+def _may_link(percent: int) -> Column:
+    """Whether the sizes, places and parity bits of a pair of different components allow the threshold."""
+    least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    within = (F.col("at_a") <= F.col("na") - least + 1) & (F.col("at_b") <= F.col("nb") - least + 1)
+    differ = F.bit_count(F.col("pa0").bitwiseXOR(F.col("pb0")))
+    for i in range(1, PARITY):
+        differ = differ + F.bit_count(F.col(f"pa{i}").bitwiseXOR(F.col(f"pb{i}")))
+    return (F.col("ra") != F.col("rb")) & within & (differ <= F.col("na") + F.col("nb") - 2 * least)
+
+
+def _hub_pairs(open_: DataFrame, turn: int, percent: int) -> DataFrame:
+    """The first member of each component of a list with the list's hub of this turn.
+
+    A member that holds fewer rarer values before the list's own comes closer to all others of the list,
+    so it speaks for its component. The hub is the first of them all, in later turns one drawn by hash;
+    lists with the same members have the same hub, so a group of g classes gives about g pairs a turn.
+    """
+    place = F.struct("at", "n", "digest")
+    entry = F.struct(*open_.columns)
+    own = open_.groupBy("value", "root").agg(F.min_by(entry, place).alias("own")).select("own.*")
+    drawn = place if turn == 1 else F.struct(F.xxhash64("digest", F.lit(turn)), "digest")
+    hub = own.groupBy("value").agg(F.min_by(entry, drawn).alias("hub")).select("hub.*")
+    return _side(own, "a").join(_side(hub, "b"), "value").filter(_may_link(percent))
+
+
 def linked_classes(docs: DataFrame, rows: DataFrame, k: int, percent: int, words: int, bits: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """The links between classes of equal sets, and their components."""
     first = F.min(F.struct("doc_id", "row_key"))["row_key"].alias("row_key")
@@ -251,29 +303,30 @@ def linked_classes(docs: DataFrame, rows: DataFrame, k: int, percent: int, words
     star = lists.join(hub, "value").select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("hub.digest").alias("b"), F.col("hub.n").alias("nb"))
     tested = stored(_pairs(star, percent), "near-pairs")
     links = stored(_confirmed(tested, listed, sets, k, percent), "near-links")
-    roots = components(links)
-
-    # Lists of two are settled by then, and so are lists within one component.
-    placed = lists.join(roots, "digest", "left").select("value", "digest", F.coalesce("root", "digest").alias("root"))
-    placed = stored(placed, "near-placed")
-    unsettled = placed.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    unsettled = unsettled.filter("n > 2 and low != high").select("value")
-    left = stored(placed.join(unsettled, "value", "left_semi").groupBy("digest").agg(F.first("root").alias("root")), "near-unsettled")
-    again = exact_lists(stored(sets.join(left, "digest", "left_semi"), "near-unsettled-sets"), percent, ORDER_BITS)
-    again = stored(again.join(left, "digest"), "near-exact-lists")
-    # The smaller components of a list against all its members; the largest is settled within itself.
-    by_root = again.groupBy("value", "root").count().groupBy("value")
-    main = by_root.agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    rest = again.join(main.select("value", "main"), "value").filter("root != main")
-    rest = stored(rest.select("value", F.col("digest").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("at").alias("at_a"), *[F.col(f"p{i}").alias(f"pa{i}") for i in range(PARITY)]), "near-rest")
-    other = again.select(F.col("value").alias("v"), F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("at").alias("at_b"), *[F.col(f"p{i}").alias(f"pb{i}") for i in range(PARITY)])
-    least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    within = (F.col("at_a") <= F.col("na") - least + 1) & (F.col("at_b") <= F.col("nb") - least + 1)
-    differ = F.bit_count(F.col("pa0").bitwiseXOR(F.col("pb0")))
-    for i in range(1, PARITY):
-        differ = differ + F.bit_count(F.col(f"pa{i}").bitwiseXOR(F.col(f"pb{i}")))
-    close = differ <= F.col("na") + F.col("nb") - 2 * least
-    across = rest.join(other, (F.col("value") == F.col("v")) & (F.col("ra") != F.col("rb")) & within & close)
+    roots = stored(_merged(listed.select("digest", F.col("digest").alias("root")), links), "near-placed")
+    left = _open(lists, roots).groupBy("digest").agg(F.first("root").alias("root"))
+    left = stored(left, "near-unsettled")
+    exact = exact_lists(stored(sets.join(left.select("digest"), "digest", "left_semi"), "near-unsettled-sets"), percent, ORDER_BITS)
+    exact = stored(exact, "near-exact-lists")
+    open_ = _open(exact, roots, 1)
+    for turn in range(1, HUB_ROUNDS + 1):
+        before = open_.select("value", "root").distinct().count()
+        if not before:
+            break
+        fresh = stored(_pairs(_hub_pairs(open_, turn, percent), percent).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        found = stored(_confirmed(fresh, listed, sets, k, percent), "near-links")
+        tested, links = tested.unionByName(fresh), links.unionByName(found)
+        if found.isEmpty():
+            break
+        roots = stored(_merged(roots, found), "near-placed")
+        open_ = _open(exact, roots, 1)
+        if open_.select("value", "root").distinct().count() > LEAST_GAIN * before:
+            break
+    # The smaller components of a list against all members of others; the largest is settled within itself.
+    by_root = open_.groupBy("value", "root").count().groupBy("value")
+    main = by_root.agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    rest = _side(open_.join(main, "value").filter("root != main"), "a")
+    across = stored(rest, "near-rest").join(_side(open_, "b"), "value").filter(_may_link(percent))
     late = stored(_pairs(across, percent).join(tested, ["a", "b"], "left_anti"), "near-late")
     links = links.unionByName(stored(_confirmed(late, listed, sets, k, percent), "near-late-links"))
     return links, components(links)
