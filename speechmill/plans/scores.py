@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from speechmill.functions import fields
 from speechmill.functions.expr import unnest
 from speechmill.operators import lexicon as lx
-from speechmill.operators import rollups, sentiment
+from speechmill.operators import keyword_index, rollups, sentiment
 from speechmill.plans import dataset as ds
 
 
@@ -84,6 +84,17 @@ def long_lexicon_counts(spark, sf):
     return df.select("speech_key", *[F.get("n", F.lit(i)).cast("long").alias(t) for i, t in enumerate(ds.LONG.names)])
 
 
+def indexed_keyword_counts(spark, sf):
+    """Keywords found in each speech out of a lexicon made of the benchmark's words, in seven topics."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))
+    lexicon = ds.table(spark, sf, "benchmark").select((F.col("item_id") % 7).alias("topic"), F.explode(words).alias("keyword"))
+    speeches = ds.texts(spark, sf).select("speech_key", "speech_text")
+    found = keyword_index.matches(speeches, "speech_key", "speech_text", keyword_index.build(lexicon))
+    counted = found.groupBy("speech_key").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("topic").alias("topics"))
+    every = speeches.select("speech_key").join(counted, "speech_key", "left")
+    return every.select("speech_key", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("topics", F.lit(0)).alias("topics"))
+
+
 def rollup(spark, sf):
     return rollups.topic_rollup(counted(spark, sf), ds.TOPICS, "session_name", "month", "party", "d")
 
@@ -203,7 +214,7 @@ def issue_trends(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        party_topic_scores, group_rank_in_topic, topic_matches, dominant_topics, topic_examples, lexicon_table_scores, long_lexicon_counts,
+        party_topic_scores, group_rank_in_topic, topic_matches, dominant_topics, topic_examples, lexicon_table_scores, long_lexicon_counts, indexed_keyword_counts,
         topic_rollup, session_topic_scores, month_extremes, party_topic_means, party_month_series, sentiment_labels,
         sentiment_scores, sentiment_overall, sentiment_by_party, sentiment_by_month, sentiment_tone,
         sentiment_month_matrix, sentiment_party_matrix, issue_mentions, issue_trends,
@@ -265,6 +276,9 @@ FROM x WHERE example <= 3""",
     "long_lexicon_counts": f"""WITH {ds.lexicon_sql(ds.LONG)} SELECT doc_id AS speech_key,
   count(*) FILTER (WHERE ord = 0 AND contains(lower(text), kw)) AS beginnings, count(*) FILTER (WHERE ord = 1 AND contains(lower(text), kw)) AS whole
 FROM documents CROSS JOIN lex GROUP BY doc_id""",
+    "indexed_keyword_counts": """WITH lex AS (SELECT DISTINCT item_id % 7 AS topic, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS kw FROM benchmark),
+hit AS (SELECT d.doc_id, count(*) AS hits, count(DISTINCT topic) AS topics FROM documents d JOIN lex ON contains(lower(d.text), kw) GROUP BY d.doc_id)
+SELECT d.doc_id AS speech_key, coalesce(hits, 0) AS hits, coalesce(topics, 0) AS topics FROM documents d LEFT JOIN hit USING (doc_id)""",
     "lexicon_table_scores": f"""WITH {ds.SPEECH_SQL}, {_DISTINCT}, hit AS (
   SELECT s.speech_key, s.agenda_item_titles AS agenda, l.topic, l.ord, l.weight,
     count(*) FILTER (WHERE contains(lower(s.speech_text), lower(l.kw))) AS n

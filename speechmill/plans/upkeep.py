@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from speechmill.operators import chunks, incremental
+from speechmill.operators.vector_index import VectorIndex
 from speechmill.plans import dataset as ds
 from speechmill.plans.scores import r
 
@@ -115,11 +116,18 @@ def nearest_to_labels(spark, sf):
     return found.select(F.col("query").alias("label"), "vec_id", r("similarity"), "rank")
 
 
+def nearest_by_index(spark, sf):
+    """The vectors nearest to every fiftieth vector, through inverted lists."""
+    e = ds.table(spark, sf, "embeddings")
+    found = VectorIndex.build(e, "vec_id").nearest(e.filter(F.col("vec_id") % 50 == 0), "vec_id", k=5)
+    return found.select(F.col("query").alias("asked"), F.col("key").alias("vec_id"), r("similarity"), "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         session_digests, sessions_to_process, changed_speeches, keyed_upsert, keyed_delete, session_chunks_deleted,
-        session_lookup, attached_vectors, missing_vectors, nearest_to_labels,
+        session_lookup, attached_vectors, missing_vectors, nearest_to_labels, nearest_by_index,
     )
 }
 
@@ -152,4 +160,8 @@ m AS (SELECT label, pos, avg(x) AS x FROM x GROUP BY ALL), q AS (SELECT label, l
 s AS (SELECT q.label, e.vec_id, list_cosine_similarity(q.v, e.embedding::DOUBLE[]) AS c FROM q CROSS JOIN embeddings e),
 k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(c, 9) DESC, vec_id) AS rank FROM s)
 SELECT label, vec_id, round(c, 6) AS similarity, rank FROM k WHERE rank <= 5""",
+    "nearest_by_index": """WITH s AS (SELECT q.vec_id AS asked, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c
+  FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY round(c, 9) DESC, vec_id) AS rank FROM s)
+SELECT asked, vec_id, round(c, 6) AS similarity, rank FROM k WHERE rank <= 5""",
 }

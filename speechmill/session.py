@@ -53,6 +53,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a new shared folder and read it back: computed once, and no lineage to lose."""
+    path = run_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Use every core when a scan has fewer tasks than the cluster has cores.
 
