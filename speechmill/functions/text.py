@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -141,11 +142,33 @@ def repeated_words(text: Column, times: int = 3) -> Column:
     return F.size(F.filter(term_counts(words), lambda t: t["tf"] >= times))
 
 
+#: Decimal, hexadecimal and named references.
+REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
+#: Characters of named references: the fixed table, and the names of HTML 4.
+NAMED = {name: chr(point) for name, point in name2codepoint.items()} | {
+    entity[1:-1]: char for entity, char in values.HTML_ENTITIES.items() if not entity.startswith("&#")
+}
+
+
+def _character(reference: Column) -> Column:
+    """The character that a reference (without ``&`` and ``;``) stands for, null if there is none."""
+    digits = F.regexp_extract(reference, "^#[xX]?([0-9a-fA-F]+)$", 1)
+    number = F.when(F.lower(F.substring(reference, 2, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    coded = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0)), 8, "0")), "UTF-32")
+    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    return F.when(F.startswith(reference, F.lit("#")), F.when(valid, coded)).otherwise(F.try_element_at(named, reference))
+
+
 def unescape(text: Column) -> Column:
-    """Named entities of the fixed table; the ampersand goes last."""
-    for entity, char in values.HTML_ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Character references decoded in one scan, so nothing is decoded twice; unknown ones stay.
+
+    The fixed table goes first, then the names of HTML 4; a no-break space becomes a blank.
+    """
+    between = F.split(text, REFERENCE, -1)
+    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
+    decoded = F.zip_with(between, found, lambda part, r: F.concat(part, F.coalesce(F.replace(_character(r), F.lit("\u00a0"), F.lit(" ")), F.concat(F.lit("&"), r, F.lit(";")), F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
 
 
 def markup_text(markup: Column, breaks: bool = False) -> Column:

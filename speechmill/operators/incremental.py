@@ -98,7 +98,9 @@ def agenda_ids(table: DataFrame, session_id: str) -> DataFrame:
 
 
 def attach_vectors(rows: DataFrame, vectors: DataFrame, on: str = "content_hash", vector: str = "embedding") -> DataFrame:
-    return rows.join(vectors.select(on, vector), on, "left")
+    """Rows with the stored vector of their content; of several vectors of one content the smallest."""
+    one = vectors.groupBy(on).agg(F.min(vector).alias(vector))
+    return rows.join(one, on, "left")
 
 
 def missing_vectors(rows: DataFrame, vectors: DataFrame, on: str = "content_hash") -> DataFrame:

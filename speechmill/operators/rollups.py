@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from speechmill import values
 from speechmill.functions.fields import session_number
 from speechmill.operators.lexicon import Lexicon, topic_columns, topic_measures, with_scores
+from speechmill.session import kept
 
 
 # Up to this rank Spark limits ranked groups inside each task (its windowGroupLimitThreshold).
@@ -61,9 +62,22 @@ def top_topics(scores: DataFrame, group: Sequence[str], k: int = 5) -> DataFrame
 
 
 def group_rank(scores: DataFrame, group: str) -> DataFrame:
-    """Rank of every group inside each topic; rank 1 leads."""
-    window = Window.partitionBy("topic").orderBy(F.desc("score"), F.asc(group))
-    return scores.withColumn("rank", F.row_number().over(window))
+    """Rank of every group inside each topic; rank 1 leads, ties by group.
+
+    Rows are dealt by ranges of (topic, score, group) and stored, so a topic may lie in many parts. A row's
+    rank is its place in its part and the number of the topic's rows in the parts before.
+    """
+    order = [F.desc("score"), F.asc(group)]
+    dealt = scores.repartitionByRange(F.asc("topic"), *order).withColumn("_part", F.spark_partition_id())
+    dealt = kept(dealt, "rank-parts")
+    # One row for each topic and part.
+    counted = dealt.groupBy("topic", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("topic").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.select(F.col("topic").alias("_topic"), F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("topic", "_part").orderBy(*order))
+    same = F.col("topic").eqNullSafe(F.col("_topic")) & (F.col("_part") == F.col("_at"))
+    placed = dealt.withColumn("_place", place).join(offsets, same)
+    return placed.withColumn("rank", (F.col("_before") + F.col("_place")).cast("int")).drop("_topic", "_part", "_at", "_place", "_before")
 
 
 def peak(df: DataFrame, by: str, at: str, value: str) -> DataFrame:

@@ -116,3 +116,18 @@ def test_unnest_and_computed_if_compute_once(spark):
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("upper(") == 1
     assert [r[0] for r in df.select(let(F.length("x"), lambda n: n + n)).collect()] == [6, 0]
+
+
+def test_unescape_reads_every_reference_once(value):
+    cases = {
+        "it&#8217;s &#x2014; caf&eacute;": "it’s — café",
+        "&amp;lt; &amp;amp; &lt;b&gt;": "&lt; &amp; <b>",
+        "a&nbsp;b&#160;c&#xA0;d": "a b c d",
+        "&#0; &#55296; &#1114112; &#xFFFFFF; &nosuch; &amp &; &#;": "&#0; &#55296; &#1114112; &#xFFFFFF; &nosuch; &amp &; &#;",
+        "&#128512;&#X1F600;": "😀😀",
+        "plain": "plain",
+        "": "",
+        "&quot;&#39;&middot;&copy;&Sigma;": "\"'·©Σ",
+    }
+    for source, want in cases.items():
+        assert value(text.unescape(F.col("x")), x=source) == want

@@ -279,3 +279,22 @@ def test_grid_and_missing_vectors(spark):
     assert grid == [("s", "r1", "c1", 1), ("s", "r1", "c2", 0), ("s", "r2", "c1", 0), ("s", "r2", "c2", 1), ("t", "r1", "c3", 1)]
     hashes = spark.createDataFrame([("h1", 1), ("h1", 2), ("h2", 3)], "content_hash string, k int")
     assert rows(incremental.missing_vectors(hashes, hashes.filter("k = 3"))) == [("h1",)]
+
+
+def test_group_rank_over_several_parts(spark):
+    """Ranks go on across range parts; ties by group, a null topic is a topic."""
+    rows = [(t, f"g{i:03d}", float(i % 7)) for t in ("a", "b", None) for i in range(120)]
+    scores = spark.createDataFrame(rows, "topic string, party string, score double")
+    got = {(r["topic"], r["party"]): r["rank"] for r in rollups.group_rank(scores, "party").collect()}
+    want = {}
+    for t in ("a", "b", None):
+        for place, (_, g) in enumerate(sorted((-s, g) for u, g, s in rows if u == t), 1):
+            want[t, g] = place
+    assert got == want
+
+
+def test_repeated_hash_in_vectors_adds_no_rows(spark):
+    rows = spark.createDataFrame([(1, "h"), (2, "h"), (3, "x"), (4, None)], "id int, content_hash string")
+    vectors = spark.createDataFrame([("h", [2.0]), ("h", [1.0]), ("h", [1.0])], "content_hash string, embedding array<double>")
+    got = sorted((r["id"], r["embedding"]) for r in incremental.attach_vectors(rows, vectors).collect())
+    assert got == [(1, [1.0]), (2, [1.0]), (3, None), (4, None)]
