@@ -48,7 +48,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """Rule text and verdict of the longest rule that fits, else null; of equals the first."""
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: len(r.host) + len(r.path)):
+    # Later ones override: longer rules come later, and among equals the first in the list comes last.
+    for rule in sorted(reversed(rules), key=lambda r: len(r.host) + len(r.path)):
         fits = ((host == rule.host) | F.endswith(host, F.lit("." + rule.host))) & F.startswith(path, F.lit(rule.path))
         text = F.when(fits, rule.host + rule.path).otherwise(text)
         verdict = F.when(fits, rule.verdict).otherwise(verdict)

@@ -318,3 +318,20 @@ def test_one_row_of_each_near_group_stays_without_distinct_ids(spark):
     near = [[r for r in left if tuple(r) in group] for group in (rows[:3], rows[3:5])]
     assert [len(n) for n in near] == [1, 1] and near[0][0]["doc_id"] == 1
     assert collections.Counter(map(tuple, left)) - collections.Counter(map(tuple, near[0] + near[1])) == collections.Counter({r: 1 for r in rows[5:]})
+
+
+def test_rules_of_equal_length_take_the_first(spark):
+    rows = spark.createDataFrame([("x.a.com", "/bc")], "host string, path string")
+    rules = [url_model.Rule("block", "a.com", "/bc"), url_model.Rule("allow", "x.a.com", "/")]
+    for some in (rules, rules[::-1]):
+        text, verdict = url_model.matching_rule(F.col("host"), F.col("path"), some)
+        assert tuple(rows.select(text, verdict).first()) == (some[0].host + some[0].path, some[0].verdict)
+
+
+def test_fixity_finds_damage_in_a_null_file(spark):
+    schema = "file string, id long, record string"
+    rows = [(f, i, f"record {i}" * 20) for f in (None, "f") for i in range(200)]
+    sides = [merkle.leaves(spark.createDataFrame([(f, i, r.replace("0", x)) for f, i, r in rows], schema), "file", "id", "record") for x in "0o"]
+    found = merkle.fixity_audit(*sides).groupBy("file").count().collect()
+    hurt = sum("0" in f"record {i}" for i in range(200))
+    assert {r["file"]: r["count"] for r in found} == {None: hurt, "f": hurt}
