@@ -163,6 +163,46 @@ def ranked_lines(counted: DataFrame, by: Sequence[str], label: str, n: str, k: i
     )
 
 
+def session_payload(
+    df: DataFrame,
+    sample: DataFrame,
+    session: str = "session_name",
+    agenda: str = "agenda_item_titles",
+    party: str = "party",
+    speaker: str = "speaker_name",
+    text: str = "speech_text",
+    cut: int = 300,
+    most: int = 20,
+) -> DataFrame:
+    """One row per session: ``total_speeches, agenda_stats, party_stats, speeches_sample``.
+
+    The statistics are maps from agenda or party to its speeches; blank agendas and null parties are left
+    out. The sample holds party, speaker and the first ``cut`` characters of at most ``most`` sampled
+    speeches by ``sample_no``. Counts are formed before a session's values meet in one row; a session
+    without any has empty maps and an empty sample.
+    """
+
+    def counts(column: str, out: str) -> DataFrame:
+        counted = df.filter(F.trim(column) != "").groupBy(session, column).agg(F.count(F.lit(1)).alias("n"))
+        return counted.groupBy(session).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(column, "n")))).alias(out))
+
+    spoken = F.struct("sample_no", F.col(party).alias("party"), F.col(speaker).alias("speaker"), F.substring(text, 1, cut).alias("text"))
+    samples = sample.filter(F.col("sample_no") <= most).groupBy(session).agg(F.sort_array(F.collect_list(spoken)).alias("_s"))
+    rows = df.groupBy(session).agg(F.count(F.lit(1)).alias("total_speeches"))
+    for more in (counts(agenda, "agenda_stats"), counts(party, "party_stats"), samples):
+        rows = rows.join(more, session, "left")
+    none = F.create_map().cast("map<string,bigint>")
+    plain = F.transform("_s", lambda x: F.struct(x["party"].alias("party"), x["speaker"].alias("speaker"), x["text"].alias("text")))
+    empty = F.array().cast("array<struct<party:string,speaker:string,text:string>>")
+    return rows.select(
+        session,
+        "total_speeches",
+        F.coalesce("agenda_stats", none).alias("agenda_stats"),
+        F.coalesce("party_stats", none).alias("party_stats"),
+        F.coalesce(plain, empty).alias("speeches_sample"),
+    )
+
+
 def session_prompt(
     df: DataFrame,
     sample: DataFrame,

@@ -104,6 +104,18 @@ def agenda_payload(spark, sf):
     )
 
 
+def session_payloads(spark, sf):
+    """What a session's prompt is made of, as one row: totals, statistics and the sample."""
+    rows = ds.with_speaker(ds.texts(spark, sf).select("speech_key", "session_name", "agenda_item_titles"), spark, sf)
+    payload = dialogue.session_payload(rows, sampled(spark, sf))
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";")
+    spoken = F.transform("speeches_sample", lambda x: F.concat_ws("|", x["party"], x["speaker"], x["text"]))
+    return payload.select(
+        "session_name", "total_speeches", listed("agenda_stats").alias("agendas"), listed("party_stats").alias("parties"),
+        F.size("speeches_sample").alias("sampled"), F.md5(F.array_join(spoken, "\n")).alias("digest"),
+    )
+
+
 def session_prompts(spark, sf):
     rows = ds.with_speaker(ds.texts(spark, sf).select("speech_key", "session_name", "agenda_item_titles"), spark, sf)
     prompts = dialogue.session_prompt(rows, sampled(spark, sf), instructions="Answer in JSON.")
@@ -148,7 +160,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         qa_pairs, qa_pairs_within_meeting, qa_pairs_small_blocks, speech_qa_pairs, session_sample, leading_agendas,
-        agenda_sample, agenda_payload, session_prompts, agenda_prompts, qa_prompts, numbered_pairs, text_chunks,
+        agenda_sample, agenda_payload, session_payloads, session_prompts, agenda_prompts, qa_prompts, numbered_pairs, text_chunks,
         page_texts,
     )
 }
@@ -210,6 +222,14 @@ SELECT session_name, file_name AS question_file, speech_order AS question_order,
     "agenda_payload": f"""{_AGENDA_SAMPLE}, p AS (SELECT DISTINCT session_name, agenda_item_titles, party FROM smp)
 SELECT s.session_name, s.agenda_item_titles, (SELECT string_agg(party, ',' ORDER BY party) FROM p WHERE p.session_name = s.session_name AND p.agenda_item_titles = s.agenda_item_titles) AS parties,
   count(*) AS speeches, md5(string_agg(substring(speech_text, 1, 400), '|' ORDER BY party, sample_rank)) AS digest FROM smp s GROUP BY ALL""",
+    "session_payloads": f"""{_SAMPLE}, ac AS (SELECT session_name, agenda_item_titles AS a, count(*) AS n FROM speech WHERE trim(agenda_item_titles) <> '' GROUP BY ALL),
+pc AS (SELECT session_name, party AS a, count(*) AS n FROM speech GROUP BY ALL),
+agt AS (SELECT session_name, string_agg(a || '=' || n, ';' ORDER BY a) AS agendas FROM ac GROUP BY 1),
+pt AS (SELECT session_name, string_agg(a || '=' || n, ';' ORDER BY a) AS parties FROM pc GROUP BY 1),
+st AS (SELECT session_name, count(*) AS sampled, md5(string_agg(party || '|' || speaker_name || '|' || substring(speech_text, 1, 300), chr(10) ORDER BY sample_no)) AS digest
+  FROM sample WHERE sample_no <= 20 GROUP BY 1),
+n AS (SELECT session_name, count(*) AS total_speeches FROM speech GROUP BY 1)
+SELECT n.session_name, total_speeches, agendas, parties, sampled, digest FROM n JOIN agt USING (session_name) JOIN pt USING (session_name) JOIN st USING (session_name)""",
     "session_prompts": f"""{_SAMPLE}, ac AS (SELECT session_name, agenda_item_titles AS a, count(*) AS n FROM speech WHERE trim(agenda_item_titles) <> '' GROUP BY session_name, agenda_item_titles
   QUALIFY row_number() OVER (PARTITION BY session_name ORDER BY count(*) DESC, agenda_item_titles) <= 10),
 pc AS (SELECT session_name, party AS a, count(*) AS n FROM speech GROUP BY ALL),

@@ -298,3 +298,13 @@ def test_repeated_hash_in_vectors_adds_no_rows(spark):
     vectors = spark.createDataFrame([("h", [2.0]), ("h", [1.0]), ("h", [1.0])], "content_hash string, embedding array<double>")
     got = sorted((r["id"], r["embedding"]) for r in incremental.attach_vectors(rows, vectors).collect())
     assert got == [(1, [1.0]), (2, [1.0]), (3, None), (4, None)]
+
+
+def test_session_payload(spark):
+    rows = [("s", "a", "p", "x", "one"), ("s", "a", None, "y", "two"), ("s", " ", "q", "z", "three"), ("t", None, None, "w", None)]
+    df = spark.createDataFrame(rows, "session_name string, agenda_item_titles string, party string, speaker_name string, speech_text string")
+    sample = spark.createDataFrame([("s", 2, "q", "z", "three"), ("s", 1, "p", "x", "one"), ("s", 3, "p", "x", "late")], "session_name string, sample_no int, party string, speaker_name string, speech_text string")
+    got = {r["session_name"]: r for r in dialogue.session_payload(df, sample, cut=2, most=2).collect()}
+    assert got["s"]["total_speeches"] == 3 and got["s"]["agenda_stats"] == {"a": 2} and got["s"]["party_stats"] == {"p": 1, "q": 1}
+    assert [tuple(x) for x in got["s"]["speeches_sample"]] == [("p", "x", "on"), ("q", "z", "th")]
+    assert got["t"]["total_speeches"] == 1 and got["t"]["agenda_stats"] == {} and got["t"]["party_stats"] == {} and got["t"]["speeches_sample"] == []
