@@ -273,6 +273,38 @@ def result_documents(doc: DataFrame) -> DataFrame:
     )
 
 
+def assembled_documents(heads: DataFrame, positions: DataFrame, summaries: DataFrame, metrics: DataFrame) -> DataFrame:
+    """``session_name, document``: the nested result document of each session as JSON text.
+
+    ``heads`` has ``session_name, total_speeches, quality_speeches, analysis_timestamp`` and ``as_list``, which
+    chooses the shape; ``positions`` are the rows of :func:`position_rows`; ``summaries`` and ``metrics`` hold
+    the session's ``session_summary`` and ``qa_analysis`` as JSON text. Parties meet in the row of their agenda
+    first and turn into text there; a session's row gathers one text for each agenda. Parts that a
+    session lacks are left out; a session without positions has an empty list or object.
+    """
+    # The title as a JSON string: what to_json writes between '{"v":' and '}'.
+    title = F.regexp_extract(F.to_json(F.struct(F.coalesce("agenda_title", F.lit("")).alias("v"))), r"(?s)^\{\"v\":(.*)\}\z", 1)
+    lists = ("key_points", "concerns", "suggestions")
+    entry = F.struct("party_name", "stance_label", *lists, "summary_text")
+    agendas = positions.groupBy("session_name", "agenda_title").agg(F.sort_array(F.collect_list(entry)).alias("p"))
+    older = F.map_from_entries(
+        F.transform("p", lambda p: F.struct(p["party_name"], F.struct(p["stance_label"].alias("stance"), *[p[c].alias(c) for c in lists], p["summary_text"].alias("key_statements"))))
+    )
+    texts = agendas.select(
+        "session_name",
+        "agenda_title",
+        F.concat(title, F.lit(":"), F.to_json(F.struct(older.alias("party_positions")))).alias("older"),
+        F.to_json(F.struct("agenda_title", F.col("p").alias("party_positions"))).alias("newer"),
+    )
+    whole = texts.groupBy("session_name").agg(F.sort_array(F.collect_list(F.struct("agenda_title", "older", "newer"))).alias("a"))
+    rows = heads.join(whole, "session_name", "left").join(summaries, "session_name", "left").join(metrics, "session_name", "left")
+    joined = lambda name: F.coalesce(F.array_join(F.transform("a", lambda a: a[name]), ","), F.lit(""))
+    shape = F.when(F.col("as_list"), F.concat(F.lit("["), joined("newer"), F.lit("]"))).otherwise(F.concat(F.lit("{"), joined("older"), F.lit("}")))
+    head = F.regexp_replace(F.to_json(F.struct("session_name", "total_speeches", "quality_speeches", "analysis_timestamp")), r"(?s)\}\z", "")
+    parts = [F.concat(F.lit(f'"{name}":'), value) for name, value in (("session_summary", F.col("session_summary")), ("party_positions", shape), ("qa_analysis", F.col("qa_analysis")))]
+    return rows.select("session_name", F.concat(F.concat_ws(",", head, *parts), F.lit("}")).alias("document"))
+
+
 def document_positions(documents: DataFrame) -> DataFrame:
     """Positions out of result documents, whether the agendas are a map or a list."""
     is_list = F.col("party_positions").startswith("[")

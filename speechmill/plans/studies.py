@@ -12,6 +12,8 @@ from speechmill.operators import answers, chunks, dialogue
 from speechmill.plans import dataset as ds
 from speechmill.plans.dialogues import pairs
 from speechmill.plans.scores import r
+from speechmill.session import run_folder
+from speechmill.sources import tables
 
 LEVELS = ("높음", "중간", "낮음", "보통")
 
@@ -344,6 +346,24 @@ def qa_metrics(spark, sf):
     )
 
 
+def document_files(spark, sf):
+    """Documents assembled from their tables, written as files in both shapes, read back and taken apart."""
+    heads = summary_parts(spark, sf).select(
+        "session_name",
+        F.col("n").cast("int").alias("total_speeches"),
+        (F.col("n") - 1).cast("int").alias("quality_speeches"),
+        F.lit("2024-01-01T00:00:00").alias("analysis_timestamp"),
+        (F.col("session") % 2 == 1).alias("as_list"),
+    )
+    summaries = summary_answers(spark, sf).select("session_name", F.col("answer").alias("session_summary"))
+    metrics = heads.select("session_name", F.to_json(F.struct(F.col("total_speeches").alias("total_qa_pairs"))).alias("qa_analysis"))
+    path = run_folder(spark, "result-documents")
+    tables.write_document_texts(answers.assembled_documents(heads, positions(spark, sf), summaries, metrics), path)
+    read = tables.read_documents(spark, f"{path}-absent", path)
+    tiles = answers.tiles(read).select("session_name", "total_speeches", "issues", "qa_pairs")
+    return shown_positions(answers.document_positions(read)).join(tiles, "session_name")
+
+
 def document_tiles(spark, sf):
     return answers.tiles(documents(spark, sf))
 
@@ -383,7 +403,7 @@ QUERIES = {
     for f in (
         position_rows, document_positions, agenda_records, position_records, summary_rows, session_records, stored_session_metadata,
         unreadable_answers,
-        summary_documents, position_documents, qa_records, qa_documents, qa_chunks, qa_metrics, document_tiles,
+        summary_documents, position_documents, qa_records, qa_documents, qa_chunks, qa_metrics, document_files, document_tiles,
         document_issues, concern_counts, quality_shares, stance_matrix, conflict_nodes, conflict_edges,
     )
 }
@@ -429,6 +449,8 @@ FROM pairs GROUP BY session_name"""
 SQL = {
     "position_rows": f"{_POS} SELECT * FROM pos",
     "document_positions": f"{_POS} SELECT * FROM pos",
+    "document_files": f"""{_POS}, t AS (SELECT session_name, CAST(count(*) AS INTEGER) AS total_speeches, CAST(least(count(DISTINCT agenda_item_titles), 4) AS INTEGER) AS issues,
+  CAST(count(*) AS INTEGER) AS qa_pairs FROM speech GROUP BY session_name) SELECT * FROM pos JOIN t USING (session_name)""",
     "agenda_records": f"{_POS} SELECT agenda_id, session_id, session_name, agenda_title, summary_text, metadata FROM rec",
     "position_records": f"""{_POS} SELECT r.agenda_id, p.session_name, p.party_name, p.stance_label,
   CASE WHEN p.summary_text <> '' THEN p.summary_text ELSE replace(key_points, '|', {_NL}) || CASE WHEN concerns <> '' THEN {_NL} || concerns ELSE '' END

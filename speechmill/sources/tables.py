@@ -87,6 +87,11 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.withColumn("_session", F.col("session_name")).write.mode("overwrite").partitionBy("_session").json(path)
 
 
+def write_document_texts(df: DataFrame, path: str) -> None:
+    """Assembled documents (``session_name, document``), one JSON file for each session."""
+    df.select(F.col("session_name").alias("_session"), "document").write.mode("overwrite").partitionBy("_session").text(path)
+
+
 def read_documents(spark: SparkSession, *paths: str) -> DataFrame:
     """Result documents of either shape, one per file, from the first path that exists."""
     reader = spark.read.schema(RESULT_DOCUMENT).option("multiLine", True)

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from speechmill.sources import tables
 from speechmill.operators import answers, chunks
 
 OLDER = {
@@ -109,3 +110,17 @@ def test_documents_for_retrieval(spark):
     assert doc["metadata"]["agenda_id"] == ""
     stored = chunks.rag_rows(chunks.chunk_rows(chunks.position_documents(positions, nothing))).first()
     assert stored["source_type"] == "party_position" and json.loads(stored["metadata"])["party_name"] == "A"
+
+
+def test_assembled_documents_round_trip(spark, tmp_path):
+    heads = spark.createDataFrame([("s1", 3, 2, "t", True), ("s2", 4, 3, "t", False), ("s3", 0, 0, None, False)], "session_name string, total_speeches int, quality_speeches int, analysis_timestamp string, as_list boolean")
+    schema = "session_name string, agenda_title string, party_name string, stance_label string, key_points array<string>, concerns array<string>, suggestions array<string>, summary_text string"
+    rows = [(s, a, p, "yes", ["k}", 'q"1'], [], ["x"], None) for s in ("s1", "s2") for a in ('title "quoted" }', "b\\n") for p in ("p", "q")]
+    summaries = spark.createDataFrame([("s1", '{"key_issues":[{"issue":"i"}]}')], "session_name string, session_summary string")
+    metrics = spark.createDataFrame([("s2", '{"total_qa_pairs":5}')], "session_name string, qa_analysis string")
+    made = answers.assembled_documents(heads, spark.createDataFrame(rows, schema), summaries, metrics)
+    tables.write_document_texts(made, str(tmp_path / "docs"))
+    read = tables.read_documents(spark, str(tmp_path / "docs"))
+    assert sorted((r["session_name"], r["total_speeches"], r["issues"], r["qa_pairs"]) for r in answers.tiles(read).collect()) == [("s1", 3, 1, 0), ("s2", 4, 0, 5), ("s3", 0, 0, 0)]
+    got = sorted(tuple(r) for r in answers.document_positions(read).select(*[c.split()[0] for c in schema.split(", ")]).collect())
+    assert got == sorted(rows, key=lambda r: r[:3])
