@@ -1,8 +1,9 @@
 """Secrets in texts, and credentials in several parts.
 
 Strong patterns are reported where they stand. Access identifiers, secrets and endpoints that are
-weak by themselves are reported only if a complementary part is near them: their intervals, widened
-by the scope, are joined within a text by a sweep over its sorted parts, without pairs.
+weak by themselves are reported only if a complementary part is near them. Parts that overlap are one
+part and never complement each other: a cover without overlaps is chosen first. Intervals of the cover,
+widened by the scope, are joined within a text by a sweep over its sorted parts, without pairs.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ LEAST_VALUE = 12
 STRONG = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 WEAK = {
     "identifier": r"(?i:client|account|tenant|app|user|login|access_?key)[_-]?(?i:id|name)?[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{4,}",
-    "key": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{20,}",
+    "key": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}",
     "endpoint": r"https?://[^\s\"'<>]+",
 }
 KINDS = (*BASE, *WEAK)
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "key": "secret", "endpoint": "endpoint"}
+#: Which of overlapping parts stands for them: the first of these. Base spans are reported in any case.
+COVER = ("access", "assign", "hex", "endpoint", "identifier", "key")
 #: What must be near a weak candidate of each kind: one of the first, and one of the second if there is one.
 NEEDS = {"identifier": (("secret",),), "key": (("identifier", "endpoint"),), "endpoint": (("identifier",), ("secret",))}
 
@@ -55,10 +58,11 @@ def linked_secrets(docs: DataFrame, scope: int = 200, doc_id: str = "doc_id", te
     """One row per input row: ``doc_id, n_assign, n_access, n_hex, base, spans, n_linked``.
 
     ``base`` and ``spans`` list kind:start:end in code points, by start and then kind. A weak candidate is
-    reported if complementary parts (base ones included) begin or end within ``scope`` code points of it:
-    an identifier needs a secret, a key an identifier or an endpoint, an endpoint both others. Weak
-    candidates that overlap a base span are part of it and not reported again. Null and empty
-    texts have no spans; repeated rows give equal rows; empty tables an empty result.
+    reported if it is in the cover and complementary parts of the cover (base ones included) begin or end
+    within ``scope`` code points of it: an identifier needs a secret, a key an identifier or an endpoint, an
+    endpoint both others. The cover takes parts in the order of ``COVER``, those that overlap an earlier one not.
+    Null and empty texts have no spans; repeated rows give equal rows; empty tables an empty result; long texts
+    are read whole; other columns are ignored, whatever their names.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("body_key"), F.length(body).alias("body_size"), parts(body).alias("parts"))
@@ -72,22 +76,29 @@ def linked_secrets(docs: DataFrame, scope: int = 200, doc_id: str = "doc_id", te
     each = each.select(*key, "copies", "rank", "size", end.alias("end"), ((F.col("rank") > 0) | (F.col("value") >= LEAST_VALUE)).alias("valid"))
     each = each.withColumn("start", F.col("end") - F.col("size"))
 
+    each = each.withColumn("is_base", F.col("valid") & (F.col("rank") < len(BASE)))
+    # One order serves every step: the next part of a kind is the one that starts first.
+    by = Window.partitionBy(*key).orderBy("start", "rank", "end")
+    back = by.rowsBetween(Window.unboundedPreceding, -1)
+
+    def ends_before(which: Column) -> Column:
+        return F.max(F.when(which, F.col("end"))).over(back)
+
+    def starts_after(which: str) -> Column:
+        return F.expr(f"lead(if({which}, start, null), 1) ignore nulls over (partition by {', '.join(key)} order by start, rank, end)")
+
+    each = each.withColumn("cover", F.lit(False))
+    for kind in COVER:
+        overlaps = (ends_before(F.col("cover")) > F.col("start")) | (starts_after("cover") < F.col("end"))
+        mine = F.col("valid") & (F.col("rank") == KINDS.index(kind))
+        each = each.withColumn("cover", F.col("cover") | (mine & ~F.coalesce(overlaps, F.lit(False))))
     roles = F.array(*[F.lit(ROLE[k]) for k in KINDS])
-    each = each.withColumn("role", F.when(F.col("valid"), F.get(roles, F.col("rank")))).withColumn("is_base", F.col("valid") & (F.col("rank") < len(BASE)))
-    by = Window.partitionBy(*key)
-    back = by.orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = by.orderBy(F.desc("start"), F.desc("rank"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("role", F.when(F.col("cover"), F.get(roles, F.col("rank"))))
     near = {}
     for role in ("identifier", "secret", "endpoint"):
-        mine = F.col("role") == role
-        near[role] = (
-            F.coalesce(F.max(F.when(mine, F.col("end"))).over(back) >= F.col("start") - scope, F.lit(False))
-            | F.coalesce(F.min(F.when(mine, F.col("start"))).over(ahead) <= F.col("end") + scope, F.lit(False))
+        near[role] = F.coalesce(
+            (ends_before(F.col("role") == role) >= F.col("start") - scope) | (starts_after(f"role = '{role}'") <= F.col("end") + scope), F.lit(False)
         )
-    inside = (
-        F.coalesce(F.max(F.when(F.col("is_base"), F.col("end"))).over(back) > F.col("start"), F.lit(False))
-        | F.coalesce(F.min(F.when(F.col("is_base"), F.col("start"))).over(ahead) < F.col("end"), F.lit(False))
-    )
     linked = F.lit(False)
     for kind, needs in NEEDS.items():
         enough = F.lit(True)
@@ -97,7 +108,7 @@ def linked_secrets(docs: DataFrame, scope: int = 200, doc_id: str = "doc_id", te
                 any_of = any_of | near[role]
             enough = enough & any_of
         linked = linked | ((F.col("rank") == KINDS.index(kind)) & enough)
-    told = each.withColumn("told", F.coalesce(F.col("is_base") | (F.col("valid") & linked & ~inside), F.lit(False)))
+    told = each.withColumn("told", F.coalesce(F.col("is_base") | (F.col("cover") & linked), F.lit(False)))
     one = F.struct("start", "rank", "end")
     gathered = told.groupBy(*key, "copies").agg(
         F.array_sort(F.collect_list(F.when(F.col("told"), one))).alias("told"),
