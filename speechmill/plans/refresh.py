@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from speechmill import values
 from speechmill.functions.fields import natural_key
-from speechmill.operators import answers, chunks, dialogue, filters, incremental, sentiment
+from speechmill.operators import answers, chunks, dialogue, filters, incremental, retractable, sentiment
 from speechmill.operators.lexicon import Lexicon, issue_mentions
 from speechmill.session import ensure_checkpoint_dir
 from speechmill.sources import speeches as sp
-from speechmill.sources import tables
+from speechmill.sources import snapshots, tables
 
 SENTIMENT = Lexicon.of(values.CONVERSATION_SENTIMENT, weights={"neutral": 0.5})
 ISSUES = Lexicon.of(values.ISSUES, fold_case=False)
@@ -106,8 +106,8 @@ def store(
     Sessions with an answer that cannot be read are set aside: their stored rows stay as they were, so
     the next run takes them up again. They are returned with the number of such answers.
 
-    Each stage runs once for all of them with the session as a key. A table's partitions are
-    replaced as a whole, so running this again stores the same rows. The work list, one row per
+    Each stage runs once for all of them with the session as a key. All tables take effect together by one
+    snapshot, so a run that stops leaves the old rows, and running this again stores the same rows. The work list, one row per
     session, is checkpointed first: it is used by every stage and may come from the stored sessions.
     """
     ensure_checkpoint_dir(worklist.sparkSession)
@@ -134,15 +134,61 @@ def store(
         .unionByName(chunks.qa_documents(found, agendas))
     )
     retrieval = incremental.attach_vectors(chunks.rag_rows(chunks.chunk_rows(documents)), vectors)
+    run, changed = snapshots.Run(worklist.sparkSession, root), worklist.filter(F.col("reason") != "unchanged")
     for table, frame in (
         ("agenda_items", agendas),
         ("party_positions", answers.position_records(positions, agendas)),
         ("qa_interactions", answers.qa_records(found, agendas)),
         ("issue_trends", issue_trend_records(rows)),
         ("documents_rag", retrieval.withColumn("session_name", F.get_json_object("metadata", "$.session_name"))),
-        # The session row carries the digest, so it is written when everything else is in place.
         ("sessions", sessions),
     ):
         full = with_vectors(frame, vectors, **VECTORS.get(table, {}))
-        tables.replace_sessions(full, table, root, worklist.filter(F.col("reason") != "unchanged"))
+        run.write(table, tables.conform(full, table), "session_name", changed)
+    run.commit()
     return aside
+
+
+#: Topic scores kept up to date by :func:`update_topics`: the digest of each session, its cells, and sums over sessions.
+_CELL = "topic string, topic_ord int, weight double, speeches bigint, hits bigint, covered bigint"
+TOPIC_TABLES = {
+    "topic_sessions": ("session_name string, hash_digest string, analysis_version string", "session_name"),
+    "topic_cells": (f"session_name string, month string, party string, first_date date, last_date date, {_CELL}", "session_name"),
+    "topic_totals": (f"month string, party string, {_CELL}", "month"),
+}
+
+
+def topic_table(spark: SparkSession, table: str, root: str) -> DataFrame:
+    return snapshots.read(spark, root, table, *TOPIC_TABLES[table])
+
+
+def update_topics(counted: DataFrame, digests: DataFrame, root: str, lexicon: Lexicon, version: str) -> DataFrame:
+    """Bring topic scores up to date by the sessions that changed, and return those with their reason.
+
+    ``counted`` has ``session_name, month, party, d, topic_counts``, ``digests`` the digest of every session. Spark
+    takes the changed sessions before it counts; another lexicon needs another ``version``. The stored
+    cells of changed sessions, and of those that are ``gone``, leave the totals and the new ones join them; months
+    that they do not touch keep their files. All tables take effect together.
+    """
+    spark = counted.sparkSession
+    ensure_checkpoint_dir(spark)
+    known, cells, totals = (topic_table(spark, t, root) for t in TOPIC_TABLES)
+    work = incremental.sessions_to_process(digests, known, version)
+    gone = known.join(digests, "session_name", "left_anti").select("session_name", F.lit(None).cast("string").alias("hash_digest"), F.lit("gone").alias("reason"))
+    work = work.unionByName(gone).filter(F.col("reason") != "unchanged").checkpoint()
+
+    run = snapshots.Run(spark, root)
+
+    def shaped(df: DataFrame, table: str) -> DataFrame:
+        schema = spark.createDataFrame([], TOPIC_TABLES[table][0]).schema
+        return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+
+    fresh = run.write("topic_cells", shaped(retractable.session_cells(incremental.changed_rows(counted, work), lexicon), "topic_cells"), "session_name", work)
+    old = incremental.changed_rows(cells, work)
+    months = old.select("month").unionByName(fresh.select("month")).distinct()
+    touched = totals.join(months, totals["month"].eqNullSafe(months["month"]), "left_semi")
+    run.write("topic_totals", shaped(retractable.advanced(touched, old, fresh), "topic_totals"), "month", months)
+    stored = work.filter(F.col("reason") != "gone").withColumn("analysis_version", F.lit(version))
+    run.write("topic_sessions", shaped(stored, "topic_sessions"), "session_name", work)
+    run.commit()
+    return work.select("session_name", "reason")

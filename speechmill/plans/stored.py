@@ -8,6 +8,7 @@ from speechmill import values
 from speechmill.functions.fields import natural_key
 from speechmill.plans import dataset as ds
 from speechmill.session import run_folder
+from speechmill.sources import snapshots
 from speechmill.sources import speeches as sp
 from speechmill.sources import tables
 
@@ -92,7 +93,30 @@ def replaced_artifacts(spark, sf):
     return stored.select("session_name", "issue_keyword", "frequency", F.coalesce("notes", F.lit("first")).alias("run"))
 
 
-QUERIES = {f.__name__: f for f in (speech_files, one_session_files, enriched_files, copied_headers, replaced_artifacts)}
+def swapped_snapshot(spark, sf):
+    """Two tables changed by three runs, of which the last stopped before its commit: the second one's state is read."""
+    root = run_folder(spark, "snapshot-tables")
+    number = F.regexp_extract("session_name", r"(\d+)", 1).cast("int")
+    rows = ds.texts(spark, sf).groupBy("session_name", F.col("agenda_item_titles").alias("issue_keyword"))
+    first = rows.agg(F.count(F.lit(1)).cast("int").alias("frequency")).withColumn("session_id", natural_key(F.lit("session"), F.col("session_name")))
+    for step in range(3):
+        run = snapshots.Run(spark, root)
+        stored = tables.read_table(spark, "issue_trends", root) if step else first
+        changed = stored.filter((number + step) % 3 != 0) if step else stored
+        again = changed.filter((F.col("frequency") + number) % 2 == 0) if step else changed
+        new = run.write("issue_trends", tables.conform(again.withColumn("notes", F.lit(f"run {step}")), "issue_trends"), "session_name", changed.select("session_name").distinct())
+        if step == 2:
+            break
+        summed = new.groupBy("session_name").agg(F.sum("frequency").cast("string").alias("summary_text"))
+        run.write("sessions", tables.conform(summed, "sessions"), "session_name", changed.select("session_name").distinct())
+        run.commit()
+    issues, sessions = (tables.read_table(spark, t, root) for t in ("issue_trends", "sessions"))
+    return issues.join(sessions.select("session_name", "summary_text"), "session_name", "left").select(
+        "session_name", "issue_keyword", "frequency", F.col("notes").alias("run"), F.col("summary_text").cast("long").alias("session_total")
+    )
+
+
+QUERIES = {f.__name__: f for f in (speech_files, one_session_files, enriched_files, copied_headers, replaced_artifacts, swapped_snapshot)}
 
 # --- the same in SQL ------------------------------------------------------------------------------
 
@@ -112,4 +136,8 @@ SQL = {
   FROM speech GROUP BY ALL)
 SELECT session_name, issue_keyword, frequency, CASE session % 3 WHEN 0 THEN 'first' ELSE 'again' END AS run FROM t
 WHERE session % 3 = 0 OR session % 3 = 1 AND frequency % 2 = 0""",
+    "swapped_snapshot": f"""WITH {ds.SPEECH_SQL}, t AS (SELECT session_name, session, agenda_item_titles AS issue_keyword, CAST(count(*) AS INTEGER) AS frequency
+  FROM speech GROUP BY ALL), k AS (SELECT *, CASE WHEN (session + 1) % 3 = 0 THEN 'run 0' ELSE 'run 1' END AS run FROM t
+  WHERE (session + 1) % 3 = 0 OR (frequency + session) % 2 = 0)
+SELECT session_name, issue_keyword, frequency, run, CAST(sum(frequency) OVER (PARTITION BY session_name) AS BIGINT) AS session_total FROM k""",
 }

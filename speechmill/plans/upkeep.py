@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from speechmill.operators import chunks, incremental
+from speechmill.operators import chunks, incremental, retractable
 from speechmill.operators.vector_index import VectorIndex
 from speechmill.plans import dataset as ds
+from speechmill.plans import refresh, scores
 from speechmill.plans.scores import r
+from speechmill.session import run_folder
 
 DIGEST_COLUMNS = ("session", "meeting_no", "speech_order", "agenda_item_titles", "speech_text")
 
@@ -123,11 +125,38 @@ def nearest_by_index(spark, sf):
     return found.select(F.col("query").alias("asked"), F.col("key").alias("vec_id"), r("similarity"), "rank")
 
 
+def retracted_topic_rollup(spark, sf):
+    """Topic scores of all sessions after an update: some were stored before with fewer speeches, some not at all, and one is gone."""
+    root = run_folder(spark, "topic-tables")
+    rows, incoming = scores.counted(spark, sf), digests(spark, sf).select("session_name", "hash_digest")
+    number = F.regexp_extract("session_name", r"(\d+)", 1).cast("int")
+    another = F.lit("제1회").alias("session_name")
+    first = rows.filter((number % 4 != 0) & ((number % 4 != 1) | (F.col("speech_key") % 3 != 0)))
+    first = first.unionByName(rows.filter(number % 4 == 2).withColumn("session_name", another))
+    before = incoming.filter(number % 4 != 0).withColumn("hash_digest", F.when(number % 4 == 1, F.lit("stale")).otherwise(F.col("hash_digest")))
+    before = before.unionByName(before.limit(1).select(another, "hash_digest"))
+    refresh.update_topics(first, before, root, ds.TOPICS, "v1")
+    refresh.update_topics(rows, incoming, root, ds.TOPICS, "v1")
+    cells, sums = refresh.topic_table(spark, "topic_cells", root), refresh.topic_table(spark, "topic_totals", root)
+    levels = {
+        "session": retractable.session_scores(cells),
+        "month": retractable.group_scores(sums, ["month"]),
+        "party_month": retractable.group_scores(sums, ["month", "party"]),
+    }
+    out = None
+    for level, df in levels.items():
+        names = [(F.col(c) if c in df.columns else F.lit("")).alias(c) for c in ("session_name", "month", "party")]
+        part = df.select(F.lit(level).alias("level"), *names, "topic", *scores.rounded_scores())
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         session_digests, sessions_to_process, changed_speeches, keyed_upsert, keyed_delete, session_chunks_deleted,
         session_lookup, attached_vectors, missing_vectors, nearest_to_labels, nearest_by_index,
+        retracted_topic_rollup,
     )
 }
 
@@ -143,6 +172,8 @@ _REASON = """w AS (SELECT session_name, CASE session % 4 WHEN 0 THEN 'new' WHEN
 _VEC = """v AS (SELECT sha256(d.text) AS content_hash, arg_min(e.embedding, e.vec_id) AS embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id GROUP BY 1)"""
 
 SQL = {
+    # A full recomputation.
+    "retracted_topic_rollup": scores.SQL["topic_rollup"],
     "session_digests": f"""{_S}, x AS (SELECT session_name, sha256({_ROW}) AS h FROM speech)
 SELECT session_name, count(*) AS rows, sha256(count(*) || ':' || {_WORD}) AS hash_digest FROM x GROUP BY session_name""",
     "sessions_to_process": f"{_S}, {_REASON} SELECT * FROM w",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from speechmill.operators.answers import RESULT_DOCUMENT, result_documents
 from speechmill.session import ensure_checkpoint_dir
+from speechmill.sources import snapshots
 
 # --- fixed values: columns of the result tables; session_name is the partition ---
 TABLES = {
@@ -69,6 +70,9 @@ def replace_sessions(df: DataFrame, table: str, root: str, worklist: DataFrame |
 
 
 def read_table(spark: SparkSession, table: str, root: str) -> DataFrame:
+    """Rows of the newest snapshot of ``root``; without one, of the table's folder."""
+    if snapshots.newest(spark, root) is not None:
+        return snapshots.read(spark, root, table, TABLES[table], "session_name")
     return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}")
 
 
