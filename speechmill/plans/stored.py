@@ -14,6 +14,7 @@ from speechmill.sources import tables
 
 # Every eleventh speech has no meeting and every thirteenth no session.
 NO_MEETING, NO_SESSION = 11, 13
+KINDS = ("whole", "partyless", "short", "long", "foreign", "bare")
 
 
 def speech_rows(spark, sf):
@@ -78,6 +79,58 @@ def copied_headers(spark, sf):
     return read.select("session_name", "meeting_no", "section", "item_order", "item_text")
 
 
+def damaged_files(spark, sf):
+    """Speech files of five kinds in one folder each: whole, without a party, cut off, with one value more, in another encoding; and empty ones.
+
+    The kind is told by the speech's key, so that every kind grows with the texts.
+    """
+    root = run_folder(spark, "damaged-files")
+    rows = speech_rows(spark, sf).withColumn("kind", F.get(F.array(*[F.lit(k) for k in KINDS]), (F.col("speech_order") % len(KINDS)).cast("int")))
+    keys = [F.coalesce(F.col("session").cast("string"), F.lit(values.UNKNOWN)).alias(sp.SESSION_KEY), F.lit("m").alias(sp.MEETING_KEY)]
+    # The text in ASCII apart from one letter, so that it is the same in both encodings up to that letter.
+    plain = F.concat(F.lit("é"), F.md5("speech_text"))
+    shapes = {
+        "whole": [*sp.SPEECH_COLUMNS, F.lit("p").alias("party")],
+        "partyless": [F.when(F.col("speech_order") % 7 == 0, "x").otherwise(F.col(c).cast("string")).alias(c) if c == "session" else c for c in sp.SPEECH_COLUMNS],
+        "short": list(sp.SPEECH_COLUMNS[:8]),
+        "long": [*sp.SPEECH_COLUMNS, F.lit("p").alias("party"), F.lit("q").alias("more")],
+        "foreign": [*(F.lit(None).cast("string").alias(c) if c in ("meeting_no", "date") else c for c in sp.SPEECH_COLUMNS[:-1]), plain.alias("speech_text")],
+        "bare": [F.lit("").alias("value")],
+    }
+    for kind, columns in shapes.items():
+        part = rows.filter(F.col("kind") == kind).select(*columns, *keys).repartition(sp.SESSION_KEY)
+        part = part.dropDuplicates() if kind == "bare" else part
+        (
+            part.write.partitionBy(sp.SESSION_KEY, sp.MEETING_KEY)
+            .option("header", kind != "bare")
+            .option("escape", '"')
+            .option("encoding", "ISO-8859-1" if kind == "foreign" else "UTF-8")
+            .option("mapreduce.output.basename", f"{kind}_speeches")
+            .csv(f"{root}/{kind}")
+        )
+    return f"{root}/*"
+
+
+def rejected_by_reason(spark, sf):
+    """Rows of damaged files by kind of file, session and reason; sound ones have none."""
+    checked = sp.read_checked(spark, damaged_files(spark, sf), sp.PARTITIONED)
+    kind = F.regexp_extract("file_name", "^([a-z]+)_", 1)
+    return checked.groupBy(kind.alias("kind"), "session_name", F.coalesce("reason", F.lit("sound")).alias("reason")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("raw").alias("raw_records"), F.sum("speech_order").alias("orders")
+    )
+
+
+def files_accounted(spark, sf):
+    """What every damaged file gave, summed by kind and session; a file that gave nothing counts too."""
+    root = damaged_files(spark, sf)
+    account = sp.file_account(spark, root, sp.read_checked(spark, root, sp.PARTITIONED), sp.PARTITIONED)
+    return account.groupBy(
+        F.regexp_extract("file_path", "/([a-z]+)_speeches[^/]*$", 1).alias("kind"),
+        F.regexp_extract("file_path", f"{sp.SESSION_KEY}=([^/]+)/", 1).alias("session_name"),
+        F.coalesce("reason", F.lit("read")).alias("reason"),
+    ).agg(F.sum("rows").alias("rows"), F.sum("sound").alias("sound"), F.sum("rejected").alias("rejected"))
+
+
 def replaced_artifacts(spark, sf):
     """Stored rows after some sessions changed: of three, one is left alone, one gets new rows, one has none left."""
     root = run_folder(spark, "result-tables")
@@ -116,7 +169,7 @@ def swapped_snapshot(spark, sf):
     )
 
 
-QUERIES = {f.__name__: f for f in (speech_files, one_session_files, enriched_files, copied_headers, replaced_artifacts, swapped_snapshot)}
+QUERIES = {f.__name__: f for f in (speech_files, one_session_files, enriched_files, copied_headers, rejected_by_reason, files_accounted, replaced_artifacts, swapped_snapshot)}
 
 # --- the same in SQL ------------------------------------------------------------------------------
 
@@ -126,7 +179,16 @@ _F = f"""WITH {ds.SPEECH_SQL}, f AS (SELECT CASE WHEN speech_key % {NO_SESSION}
   year(d) || '년 ' || month(d) || '월 ' || day(d) || '일(목)' AS date,
   CAST(speech_order AS INTEGER) AS speech_order, agenda_item_titles, nullif(speech_text, '') AS speech_text, speech_key % 10 AS speaker FROM speech)"""
 
+_KIND = f"""{_F}, k AS (SELECT *, [{', '.join(f"'{k}'" for k in KINDS)}][CAST(speech_order % {len(KINDS)} AS INTEGER) + 1] AS kind FROM f),
+x AS (SELECT *, CASE WHEN kind = 'short' THEN '{sp.TOO_FEW}' WHEN kind = 'long' THEN '{sp.TOO_MANY}' WHEN kind = 'foreign' THEN '{sp.NOT_UTF8}'
+  WHEN session IS NULL OR kind = 'partyless' AND speech_order % 7 = 0 THEN '{sp.NO_NUMBER}' ELSE 'sound' END AS reason FROM k)"""
+
 SQL = {
+    "rejected_by_reason": f"""{_KIND} SELECT kind, session_name, reason, count(*) AS rows, count(*) FILTER (WHERE kind IN ('short', 'long')) AS raw_records,
+  CAST(sum(speech_order) AS BIGINT) AS orders FROM x WHERE kind <> 'bare' GROUP BY ALL""",
+    "files_accounted": f"""{_KIND} SELECT kind, session_name, CASE WHEN kind = 'bare' THEN '{sp.NO_ROWS}' ELSE 'read' END AS reason,
+  count(*) FILTER (WHERE kind <> 'bare') AS rows, count(*) FILTER (WHERE kind <> 'bare' AND reason = 'sound') AS sound,
+  count(*) FILTER (WHERE kind <> 'bare' AND reason <> 'sound') AS rejected FROM x GROUP BY ALL""",
     "speech_files": f"{_F} SELECT session_name, session, meeting_no, date, speech_order, sha256(speech_text) AS text_sha256 FROM f",
     "one_session_files": f"{_F} SELECT session_name, speech_order, CAST(NULL AS VARCHAR) AS party, length(speech_text) AS characters FROM f WHERE session = 418",
     "enriched_files": f"""{_F} SELECT session_name, speech_order, CASE WHEN speaker = 7 THEN '미분류' ELSE 'p' || speaker END AS speaker_party,

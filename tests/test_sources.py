@@ -137,3 +137,41 @@ def test_replacing_drops_sessions_without_rows(spark, tmp_path):
         tables.replace_sessions(trends(spark, [("t", "b", 5)]), "issue_trends", root, changed)
     got = tables.read_table(spark, "issue_trends", root)
     assert sorted((r["session_name"], r["issue_keyword"]) for r in got.collect()) == [("r", "a"), ("t", "b")]
+
+
+@pytest.fixture
+def damaged(root, tmp_path):
+    """The files of ``root`` and one folder of damaged ones."""
+    whole = [*speeches.SPEECH_COLUMNS, "party"]
+    folder = tmp_path / "제417회"
+    write(folder / "a_speeches.csv", whole, [line(417, 1, "갑", "온전한, \"발언\"\n둘째 줄", "당"), line(417, 2, "을", "짧은")[:7], line(417, 3, "병", "긴", "당") + ["여분", ""], line("x", 4, "정", "", "당")])
+    write(folder / "b_speeches.csv", whole[:-1], [line(417, 5, "무", ""), line(417, 6, "기", "짧은")[:12], line(417, 7, "경", "쉼표, \"\" 둘,")])
+    (folder / "c speeches+1.csv").write_bytes(",".join(whole[:-1]).encode() + b"\n417,,,,8,,,,,,,,caf\xe9\n417,,,,9,,,,,,,,caf\xc3\xa9\n")
+    (folder / "empty_speeches.csv").write_bytes(b"")
+    write(folder / "header_speeches.csv", whole, [])
+    return root
+
+
+def test_rows_set_aside(spark, damaged):
+    checked = speeches.read_checked(spark, damaged)
+    got = {(r["session_name"], r["file_name"], r["speaker_name"] or r["speech_order"]): r["reason"] for r in checked.collect()}
+    few, many, utf8, number = speeches.TOO_FEW, speeches.TOO_MANY, speeches.NOT_UTF8, speeches.NO_NUMBER
+    assert {k[2]: v for k, v in got.items() if k[0] == "제417회"} == {"갑": None, "을": few, "병": many, "정": number, "무": None, "기": few, "경": None, 8: utf8, 9: None}
+    assert sorted(v for k, v in got.items() if k[0] != "제417회" and v) == [number]
+    assert sorted(r["speech_order"] for r in speeches.sound_rows(checked).filter("session = 417").collect()) == [1, 5, 7, 9]
+    raw = {r["speaker_name"]: r["raw"] for r in speeches.rejected_rows(checked).collect()}
+    assert raw["을"].startswith("417,임시회") and raw["정"] is None
+    sound = {r["speech_order"]: r for r in speeches.sound_rows(checked).filter("session = 417").collect()}
+    assert sound[1]["speech_text"] == '온전한, "발언"\n둘째 줄' and sound[7]["speech_text"] == '쉼표, "" 둘,' and sound[5]["speech_text"] is None
+
+
+def test_file_account(spark, damaged):
+    checked = speeches.read_checked(spark, damaged)
+    account = {r["file_path"].rsplit("/", 1)[1]: r for r in speeches.file_account(spark, damaged, checked).collect()}
+    assert {n: (r["rows"], r["sound"], r["rejected"], r["reason"]) for n, r in account.items()} == {
+        "제1차_minutes_speeches.csv": (2, 2, 0, None), "제2호_minutes_speeches.csv": (2, 1, 1, None),
+        "a_speeches.csv": (4, 1, 3, None), "b_speeches.csv": (3, 2, 1, None), "c speeches+1.csv": (2, 1, 1, None),
+        "empty_speeches.csv": (0, 0, 0, speeches.EMPTY_FILE), "header_speeches.csv": (0, 0, 0, speeches.NO_ROWS),
+    }
+    assert account["a_speeches.csv"]["reasons"] == {speeches.TOO_FEW: 1, speeches.TOO_MANY: 1, speeches.NO_NUMBER: 1}
+    assert sum(r["rows"] for r in account.values()) == checked.count()
