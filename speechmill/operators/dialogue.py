@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from speechmill import values
 from speechmill.functions.expr import join_lines, text_array
 from speechmill.operators.rollups import top_k
+from speechmill.session import kept
 
 LABEL = values.PROMPT
 
@@ -109,9 +110,15 @@ def session_sample(
     return top_k(picked, [session], [F.col("party_rank"), F.col("sample_rank")], limit, "sample_no")
 
 
-def leading_agendas(df: DataFrame, session: str = "session_name", agenda: str = "agenda_item_titles", k: int = 3) -> DataFrame:
-    """Most discussed agendas per session; blank titles are dropped after the cut."""
-    counted = df.filter(F.col(agenda).isNotNull()).groupBy(session, agenda).agg(F.count(F.lit(1)).alias("speeches"))
+def leading_agendas(
+    df: DataFrame, session: str = "session_name", agenda: str = "agenda_item_titles", k: int = 3, speeches: Column | None = None
+) -> DataFrame:
+    """Most discussed agendas per session; blank titles are dropped after the cut.
+
+    ``speeches`` is the aggregate that counts them: rows by default, a sum where rows are counts already.
+    """
+    size = F.count(F.lit(1)) if speeches is None else speeches
+    counted = df.filter(F.col(agenda).isNotNull()).groupBy(session, agenda).agg(size.alias("speeches"))
     return top_k(counted, [session], [F.desc("speeches"), F.asc(agenda)], k, "agenda_rank").filter(
         F.trim(agenda) != ""
     )
@@ -163,6 +170,10 @@ def ranked_lines(counted: DataFrame, by: Sequence[str], label: str, n: str, k: i
     )
 
 
+def _session_cells(df: DataFrame, session: str, agenda: str, party: str) -> DataFrame:
+    return kept(df.groupBy(session, agenda, party).agg(F.count(F.lit(1)).alias("n")), "session-cells")
+
+
 def session_payload(
     df: DataFrame,
     sample: DataFrame,
@@ -179,16 +190,18 @@ def session_payload(
     The statistics are maps from agenda or party to its speeches; blank agendas and null parties are left
     out. The sample holds party, speaker and the first ``cut`` characters of at most ``most`` sampled
     speeches by ``sample_no``. Counts are formed before a session's values meet in one row; a session
-    without any has empty maps and an empty sample.
+    without any has empty maps and an empty sample. The speeches are read once, into stored counts by
+    session, agenda and party.
     """
+    cells = _session_cells(df, session, agenda, party)
 
     def counts(column: str, out: str) -> DataFrame:
-        counted = df.filter(F.trim(column) != "").groupBy(session, column).agg(F.count(F.lit(1)).alias("n"))
+        counted = cells.filter(F.trim(column) != "").groupBy(session, column).agg(F.sum("n").alias("n"))
         return counted.groupBy(session).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(column, "n")))).alias(out))
 
     spoken = F.struct("sample_no", F.col(party).alias("party"), F.col(speaker).alias("speaker"), F.substring(text, 1, cut).alias("text"))
     samples = sample.filter(F.col("sample_no") <= most).groupBy(session).agg(F.sort_array(F.collect_list(spoken)).alias("_s"))
-    rows = df.groupBy(session).agg(F.count(F.lit(1)).alias("total_speeches"))
+    rows = cells.groupBy(session).agg(F.sum("n").alias("total_speeches"))
     for more in (counts(agenda, "agenda_stats"), counts(party, "party_stats"), samples):
         rows = rows.join(more, session, "left")
     none = F.create_map().cast("map<string,bigint>")
@@ -217,11 +230,12 @@ def session_prompt(
     """Text block per session: totals, agenda and party statistics and the sampled speeches.
 
     The lists are already reduced when they are gathered: ten agendas, one line per party, and the
-    bounded sample.
+    bounded sample. The speeches are read once, into stored counts by session, agenda and party.
     """
-    totals = df.groupBy(session).agg(F.count(F.lit(1)).alias("total"))
-    agendas = df.filter(F.trim(agenda) != "").groupBy(session, agenda).agg(F.count(F.lit(1)).alias("n"))
-    parties = df.filter(F.col(party).isNotNull()).groupBy(session, party).agg(F.count(F.lit(1)).alias("n"))
+    cells = _session_cells(df, session, agenda, party)
+    totals = cells.groupBy(session).agg(F.sum("n").alias("total"))
+    agendas = cells.filter(F.trim(agenda) != "").groupBy(session, agenda).agg(F.sum("n").alias("n"))
+    parties = cells.filter(F.col(party).isNotNull()).groupBy(session, party).agg(F.sum("n").alias("n"))
     entry = F.concat(
         F.lit("["), F.col("sample_no").cast("string"), F.lit(LABEL["sample_party"]), F.col(party),
         F.lit(LABEL["sample_speaker"]), F.col(speaker), F.lit("\n" + LABEL["sample_text"]), F.substring(text, 1, cut),

@@ -119,9 +119,10 @@ def cohorts(df: DataFrame, session: str, area: str, members: Mapping[str, Sequen
 def speaker_tallies(df: DataFrame, session: str, file: str, speaker: str, party: str) -> DataFrame:
     """Distinct speakers, and party tallies that count a speaker once per file.
 
-    Rows: scope (``all`` or a session), measure (``speakers`` or ``party``), party, n.
+    Rows: scope (``all`` or a session), measure (``speakers`` or ``party``), party, n. The distinct
+    speakers of the files are stored, so the speeches are read once.
     """
-    seen = df.groupBy(session, file, speaker, party).agg(F.count(F.lit(1)).alias("_n"))
+    seen = kept(df.select(session, file, speaker, party).distinct(), "speakers-seen")
     tallies = seen.groupBy(session, party).agg(F.count(F.lit(1)).alias("n"))
     in_session = seen.select(session, speaker).distinct()
     per_session = in_session.groupBy(session).agg(F.count(F.lit(1)).alias("n"))
@@ -216,8 +217,8 @@ def dense_series(party_monthly: DataFrame, party: str, month: str, months: DataF
 
 
 def dense_grid(df: DataFrame, scope: str, row: str, column: str, value: Column, out: str) -> DataFrame:
-    """Every row label against every column label of the same scope; absent cells 0."""
-    cells = df.groupBy(scope, row, column).agg(value.alias(out))
+    """Every row label against every column label of the same scope; absent cells 0. Cells are stored."""
+    cells = kept(df.groupBy(scope, row, column).agg(value.alias(out)), "grid-cells")
     labels = cells.select(scope, column).filter(F.col(column).isNotNull()).distinct()
     grid = cells.select(scope, row).distinct().join(labels, scope)
     return grid.join(cells, [scope, row, column], "left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))

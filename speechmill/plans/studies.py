@@ -12,7 +12,7 @@ from speechmill.operators import answers, chunks, dialogue
 from speechmill.plans import dataset as ds
 from speechmill.plans.dialogues import pairs
 from speechmill.plans.scores import r
-from speechmill.session import run_folder
+from speechmill.session import kept, run_folder
 from speechmill.sources import tables
 
 LEVELS = ("높음", "중간", "낮음", "보통")
@@ -24,9 +24,11 @@ def speech_facts(spark, sf):
 
 
 def party_facts(spark, sf):
-    return speech_facts(spark, sf).groupBy("session_name", "agenda_title", "party").agg(
+    """Per session, agenda and party: speeches, smallest and largest key. Stored, as all answers are formed from it."""
+    facts = speech_facts(spark, sf).groupBy("session_name", "session", "agenda_title", "party").agg(
         F.count(F.lit(1)).alias("n"), F.min("speech_key").alias("lo"), F.max("speech_key").alias("hi")
     )
+    return kept(facts, "party-facts")
 
 
 def details():
@@ -42,8 +44,8 @@ def details():
     )
 
 
-def agenda_answers(spark, sf):
-    listed = party_facts(spark, sf).select("session_name", "agenda_title", "party", "n", details().alias("d"))
+def agenda_answers(facts):
+    listed = facts.select("session_name", "agenda_title", "party", "n", details().alias("d"))
     grouped = listed.groupBy("session_name", "agenda_title").agg(
         F.sum("n").alias("n"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("party", "d")))).alias("party_positions"),
@@ -58,18 +60,17 @@ def agenda_answers(spark, sf):
     return grouped.select("session_name", "agenda_title", F.to_json(body).alias("answer"))
 
 
-def positions(spark, sf):
-    return answers.position_rows(agenda_answers(spark, sf))
+def positions(facts):
+    return answers.position_rows(agenda_answers(facts))
 
 
-def agenda_records_of(spark, sf):
-    return answers.agenda_records(answers.agenda_rows(agenda_answers(spark, sf)))
+def agenda_records_of(facts):
+    return answers.agenda_records(answers.agenda_rows(agenda_answers(facts)))
 
 
-def summary_parts(spark, sf):
+def summary_parts(facts):
     """Per session: issues from its leading agendas, views of its parties, one conflict."""
-    facts = speech_facts(spark, sf)
-    top = dialogue.leading_agendas(facts, agenda="agenda_title", k=4)
+    top = dialogue.leading_agendas(facts, agenda="agenda_title", k=4, speeches=F.sum("n"))
     issues = top.groupBy("session_name").agg(
         F.sort_array(
             F.collect_list(
@@ -87,7 +88,7 @@ def summary_parts(spark, sf):
             )
         ).alias("i")
     )
-    parties = facts.groupBy("session_name", "session", "party").agg(F.count(F.lit(1)).alias("n"))
+    parties = facts.groupBy("session_name", "session", "party").agg(F.sum("n").alias("n"))
     view = F.struct(
         F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), (F.col("n") % 3).cast("int")).alias("main_concerns"),
         F.when(F.col("n") % 2 == 0, "비판적").alias("stance"),
@@ -115,7 +116,7 @@ def summary_parts(spark, sf):
     )
 
 
-def summary_answers(spark, sf):
+def summary_answers(facts):
     body = F.struct(
         "key_issues",
         F.col("views").alias("party_positions"),
@@ -123,14 +124,15 @@ def summary_answers(spark, sf):
         "key_events",
         F.col("characteristics").alias("session_characteristics"),
     )
-    return summary_parts(spark, sf).select("session_name", F.to_json(body).alias("answer"))
+    return summary_parts(facts).select("session_name", F.to_json(body).alias("answer"))
 
 
 def documents(spark, sf):
     """Stored result documents: the older shape for even session numbers, the newer for odd ones."""
-    parts = summary_parts(spark, sf)
-    facts = party_facts(spark, sf).select("session_name", "agenda_title", "party", details().alias("d"))
-    per_agenda = facts.groupBy("session_name", "agenda_title").agg(
+    facts = party_facts(spark, sf)
+    parts = summary_parts(facts)
+    listed = facts.select("session_name", "agenda_title", "party", details().alias("d"))
+    per_agenda = listed.groupBy("session_name", "agenda_title").agg(
         F.sort_array(F.collect_list(F.struct("party", "d"))).alias("p")
     )
     per_session = per_agenda.groupBy("session_name").agg(
@@ -214,7 +216,7 @@ def shown_positions(df):
 
 
 def position_rows(spark, sf):
-    return shown_positions(positions(spark, sf))
+    return shown_positions(positions(party_facts(spark, sf)))
 
 
 def document_positions(spark, sf):
@@ -222,21 +224,22 @@ def document_positions(spark, sf):
 
 
 def agenda_records(spark, sf):
-    return agenda_records_of(spark, sf)
+    return agenda_records_of(party_facts(spark, sf))
 
 
 def position_records(spark, sf):
     """Stored rows of positions; agendas whose record has no summary of its own are not stored."""
+    facts = party_facts(spark, sf)
     agendas = answers.agenda_records(
-        answers.agenda_rows(agenda_answers(spark, sf)).filter(F.col("summary").isNotNull())
+        answers.agenda_rows(agenda_answers(facts)).filter(F.col("summary").isNotNull())
     )
-    return answers.position_records(positions(spark, sf), agendas).select(
+    return answers.position_records(positions(facts), agendas).select(
         "agenda_id", "session_name", "party_name", "stance_label", "summary_text"
     )
 
 
 def summary_rows(spark, sf):
-    return answers.summary_rows(summary_answers(spark, sf)).select(
+    return answers.summary_rows(summary_answers(party_facts(spark, sf))).select(
         "session_name",
         F.size("key_issues").alias("issues"),
         F.size("party_views").alias("parties"),
@@ -249,11 +252,11 @@ def summary_rows(spark, sf):
 def session_records(spark, sf):
     from speechmill.plans.upkeep import digests
 
-    totals = speech_facts(spark, sf).groupBy("session_name").agg(
-        F.count(F.lit(1)).alias("total_speeches"), F.count_if(F.col("party") != "미분류").alias("quality_speeches")
-    )
+    facts = party_facts(spark, sf)
+    named = F.when(F.col("party") != "미분류", F.col("n")).otherwise(0)
+    totals = facts.groupBy("session_name").agg(F.sum("n").alias("total_speeches"), F.sum(named).alias("quality_speeches"))
     rows = answers.session_records(
-        answers.summary_rows(summary_answers(spark, sf)), totals, digests(spark, sf), "v1"
+        answers.summary_rows(summary_answers(facts)), totals, digests(spark, sf), "v1"
     )
     return rows.select("session_id", "session_name", "analysis_version", "summary_text", "metadata")
 
@@ -262,9 +265,10 @@ def stored_session_metadata(spark, sf):
     """What a stored session tells of its summary and its questions and answers, read back from the metadata."""
     from speechmill.plans.upkeep import digests
 
-    totals = speech_facts(spark, sf).groupBy("session_name").agg(F.count(F.lit(1)).alias("total_speeches"), F.lit(0).alias("quality_speeches"))
+    facts = party_facts(spark, sf)
+    totals = facts.groupBy("session_name").agg(F.sum("n").alias("total_speeches"), F.lit(0).alias("quality_speeches"))
     metrics = answers.qa_metric_rows(qa_metric_answers(spark, sf), pairs(spark, sf))
-    rows = answers.session_records(answers.summary_rows(summary_answers(spark, sf)), totals, digests(spark, sf), "v1", metrics, whole=True)
+    rows = answers.session_records(answers.summary_rows(summary_answers(facts)), totals, digests(spark, sf), "v1", metrics, whole=True)
     schema = (
         f"total_speeches long, session_summary struct<raw_summary:string,key_issues:array<{answers.ISSUE}>,metadata:struct<"
         f"party_positions_overview:map<string,{answers.PARTY_VIEW}>,key_events:array<{answers.EVENT}>>>, "
@@ -287,18 +291,20 @@ def unreadable_answers(spark, sf):
     """Sessions whose answers were cut off or are no JSON; of the agendas' answers, every one of a session."""
     number = F.regexp_extract("session_name", r"(\d+)", 1).cast("int")
     broken = F.when(number % 4 == 1, F.expr("left(answer, length(answer) - 1)")).when(number % 4 == 2, "not json{").otherwise(F.col("answer"))
-    summaries = summary_answers(spark, sf).withColumn("answer", broken)
-    agendas = agenda_answers(spark, sf).withColumn("answer", F.when(number % 4 == 3, F.lit("[1]")).otherwise(F.col("answer")))
+    facts = party_facts(spark, sf)
+    summaries = summary_answers(facts).withColumn("answer", broken)
+    agendas = agenda_answers(facts).withColumn("answer", F.when(number % 4 == 3, F.lit("[1]")).otherwise(F.col("answer")))
     return answers.unreadable_sessions(summaries, agendas)
 
 
 def summary_documents(spark, sf):
-    docs = chunks.summary_documents(answers.summary_rows(summary_answers(spark, sf)))
+    docs = chunks.summary_documents(answers.summary_rows(summary_answers(party_facts(spark, sf))))
     return docs.select("source_id", F.md5("text").alias("digest"), F.col("metadata")["source_type"].alias("source_type"))
 
 
 def position_documents(spark, sf):
-    docs = chunks.position_documents(positions(spark, sf), agenda_records_of(spark, sf))
+    facts = party_facts(spark, sf)
+    docs = chunks.position_documents(positions(facts), agenda_records_of(facts))
     return docs.select("source_id", F.md5("text").alias("digest"), F.col("metadata")["agenda_id"].alias("agenda_id"))
 
 
@@ -348,17 +354,18 @@ def qa_metrics(spark, sf):
 
 def document_files(spark, sf):
     """Documents assembled from their tables, written as files in both shapes, read back and taken apart."""
-    heads = summary_parts(spark, sf).select(
+    facts = party_facts(spark, sf)
+    heads = summary_parts(facts).select(
         "session_name",
         F.col("n").cast("int").alias("total_speeches"),
         (F.col("n") - 1).cast("int").alias("quality_speeches"),
         F.lit("2024-01-01T00:00:00").alias("analysis_timestamp"),
         (F.col("session") % 2 == 1).alias("as_list"),
     )
-    summaries = summary_answers(spark, sf).select("session_name", F.col("answer").alias("session_summary"))
+    summaries = summary_answers(facts).select("session_name", F.col("answer").alias("session_summary"))
     metrics = heads.select("session_name", F.to_json(F.struct(F.col("total_speeches").alias("total_qa_pairs"))).alias("qa_analysis"))
     path = run_folder(spark, "result-documents")
-    tables.write_document_texts(answers.assembled_documents(heads, positions(spark, sf), summaries, metrics), path)
+    tables.write_document_texts(answers.assembled_documents(heads, positions(facts), summaries, metrics), path)
     read = tables.read_documents(spark, f"{path}-absent", path)
     tiles = answers.tiles(read).select("session_name", "total_speeches", "issues", "qa_pairs")
     return shown_positions(answers.document_positions(read)).join(tiles, "session_name")
@@ -387,7 +394,7 @@ def quality_shares(spark, sf):
 
 
 def stance_matrix(spark, sf):
-    return answers.stance_matrix(positions(spark, sf))
+    return answers.stance_matrix(positions(party_facts(spark, sf)))
 
 
 def conflict_nodes(spark, sf):
