@@ -141,6 +141,10 @@ def dominant_topic(counts: Column, lexicon: Lexicon, default: str = values.OTHER
     )
 
 
+#: Above this, two aggregates a topic make code that is too long to compile.
+MANY_TOPICS = 100
+
+
 def topic_measures(lexicon: Lexicon, counts: str = "topic_counts") -> list[Column]:
     """Additive measures per topic: hits, and speeches with a hit."""
     n = [F.get(F.col(counts), F.lit(i)) for i in range(len(lexicon.topics))]
@@ -171,12 +175,38 @@ def topic_cells(df: DataFrame, lexicon: Lexicon, by: Sequence[str], counts: str
     """One row per group and topic with the additive measures ``speeches, hits, covered``.
 
     Each speech enters the aggregation as one row whose measures are the elements of its count
-    array, and the topics are unpivoted only after the groups have been reduced.
+    array, and the topics are unpivoted only after the groups have been reduced. With more than
+    ``MANY_TOPICS`` topics the measures are rows instead of columns, with equal results.
     """
+    if len(lexicon.topics) > MANY_TOPICS:
+        return _many_topic_cells(df, lexicon, by, counts)
     reduced = df.groupBy(*by).agg(F.count(F.lit(1)).alias("speeches"), *topic_measures(lexicon, counts))
     return reduced.select(*by, "speeches", topic_columns(lexicon))
 
 
+def _many_topic_cells(df: DataFrame, lexicon: Lexicon, by: Sequence[str], counts: str) -> DataFrame:
+    """The cells by (group, topic) from the topics a speech hits; a topic-less entry of each speech counts the speeches.
+
+    A group's sums meet in one map, which is no longer than the lexicon; topics it lacks are 0.
+    """
+    found = F.filter(F.transform(counts, lambda n, i: F.struct(i.alias("_ord"), n.cast("long").alias("_n"))), lambda x: x["_n"] > 0)
+    speech = F.array(F.struct(F.lit(None).cast("int").alias("_ord"), F.lit(0).cast("long").alias("_n")))
+    entries = df.select(*by, F.inline(F.concat(speech, F.coalesce(found, F.array().cast("array<struct<_ord:int,_n:bigint>>")))))
+    sums = entries.groupBy(*by, "_ord").agg(F.sum("_n").alias("hits"), F.count(F.lit(1)).alias("covered"))
+    hit = F.when(F.col("_ord").isNotNull(), F.struct("_ord", F.struct("hits", "covered")))
+    grouped = sums.groupBy(*by).agg(
+        F.max(F.when(F.col("_ord").isNull(), F.col("covered"))).alias("speeches"),
+        F.map_from_entries(F.collect_list(hit)).alias("_sums"),
+    )
+    topics = F.array(*[F.struct(F.lit(t.name).alias("topic"), F.lit(i).alias("topic_ord"), F.lit(t.weight).alias("weight")) for i, t in enumerate(lexicon.topics)])
+    rows = grouped.select(*by, "speeches", "_sums", F.inline(topics))
+    cell = F.try_element_at("_sums", F.col("topic_ord"))
+    zero = F.lit(0).cast("long")
+    return rows.select(
+        *by, "speeches", "topic", "topic_ord", "weight", F.coalesce(cell["hits"], zero).alias("hits"), F.coalesce(cell["covered"], zero).alias("covered")
+    )
+
+
 def with_scores(cells: DataFrame) -> DataFrame:
     """``score`` counts hits per speech; ``coverage_pct`` speeches with a hit; ``hits_per_100`` hits."""
     return cells.select(

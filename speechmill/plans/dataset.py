@@ -39,6 +39,8 @@ ISSUES = Lexicon.of(
 # Pairs of letters, and the same pairs followed by "en".
 _PAIRS = [a + b for a in "abcdefghijklmno" for b in "aeiourstln"]
 LONG = Lexicon.of({"beginnings": _PAIRS, "whole": [p + "en" for p in _PAIRS]})
+# More topics than are summed as columns.
+MANY = Lexicon.of({p: [p, p + "en"] for p in _PAIRS}, weights={p: 0.5 for p in _PAIRS[::3]})
 POLICY = ["the", "and", "tion", "der", "und", "est", "que", "eau", "ment", "de "]
 PROCEDURAL = ["thank", "wh", "sch", "oui", "ción"]
 FILLERS = ["euh", "the", "ou", "ein", "de"]

@@ -24,19 +24,24 @@ def changed_sessions(speeches: DataFrame, stored: DataFrame, version: str, force
     return incremental.sessions_to_process(digests, stored, version, force=force)
 
 
-def prompts(speeches: DataFrame, worklist: DataFrame, instructions: str = "") -> dict[str, DataFrame]:
-    """Text blocks for the changed sessions, to be answered by an outside service."""
+def prompts(
+    speeches: DataFrame, worklist: DataFrame, instructions: str = "", session_cut: int = 300, agenda_cut: int = 400
+) -> dict[str, DataFrame]:
+    """Text blocks for the changed sessions, to be answered by an outside service.
+
+    A sampled speech is shown up to ``session_cut`` characters in a session's block and ``agenda_cut`` in an agenda's.
+    """
     rows = incremental.changed_rows(speeches, worklist).filter(filters.is_substantive(F.col("speech_text")))
-    # Only the first characters are ever shown.
-    rows = rows.withColumn("speech_text", F.substring("speech_text", 1, 500)).withColumn(
+    # The longer of the two is all that the samples have to carry.
+    rows = rows.withColumn("speech_text", F.substring("speech_text", 1, max(session_cut, agenda_cut))).withColumn(
         "speech_key", natural_key(F.col("session_name"), F.col("file_name"), F.col("speech_order"))
     )
     agenda = dialogue.agenda_payload(
         dialogue.agenda_sample(rows, dialogue.leading_agendas(rows)),
-        "session_name", "agenda_item_titles", "party", "speech_text",
+        "session_name", "agenda_item_titles", "party", "speech_text", agenda_cut,
     )
     return {
-        "session": dialogue.session_prompt(rows, dialogue.session_sample(rows), instructions=instructions),
+        "session": dialogue.session_prompt(rows, dialogue.session_sample(rows), cut=session_cut, instructions=instructions),
         "agenda": dialogue.agenda_prompt(agenda, "session_name", "agenda_item_titles", instructions),
         "pairs": dialogue.qa_prompt(pairs(speeches, worklist), instructions=instructions),
     }

@@ -84,6 +84,14 @@ def long_lexicon_counts(spark, sf):
     return df.select("speech_key", *[F.get("n", F.lit(i)).cast("long").alias(t) for i, t in enumerate(ds.LONG.names)])
 
 
+def many_topic_scores(spark, sf):
+    """Scores by session of 150 topics, most of which a session may lack."""
+    df = ds.texts(spark, sf).select("session_name", lx.topic_counts(F.col("speech_text"), ds.MANY).alias("topic_counts"))
+    return lx.topic_scores(df, ds.MANY, ["session_name"]).select(
+        "session_name", "topic", "speeches", "hits", "covered", r("score"), r("coverage_pct"), r("hits_per_100")
+    )
+
+
 def indexed_keyword_counts(spark, sf):
     """Keywords found in each speech out of a lexicon made of the benchmark's words, in seven topics."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))
@@ -214,7 +222,7 @@ def issue_trends(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        party_topic_scores, group_rank_in_topic, topic_matches, dominant_topics, topic_examples, lexicon_table_scores, long_lexicon_counts, indexed_keyword_counts,
+        party_topic_scores, group_rank_in_topic, topic_matches, dominant_topics, topic_examples, lexicon_table_scores, long_lexicon_counts, many_topic_scores, indexed_keyword_counts,
         topic_rollup, session_topic_scores, month_extremes, party_topic_means, party_month_series, sentiment_labels,
         sentiment_scores, sentiment_overall, sentiment_by_party, sentiment_by_month, sentiment_tone,
         sentiment_month_matrix, sentiment_party_matrix, issue_mentions, issue_trends,
@@ -276,6 +284,9 @@ FROM x WHERE example <= 3""",
     "long_lexicon_counts": f"""WITH {ds.lexicon_sql(ds.LONG)} SELECT doc_id AS speech_key,
   count(*) FILTER (WHERE ord = 0 AND contains(lower(text), kw)) AS beginnings, count(*) FILTER (WHERE ord = 1 AND contains(lower(text), kw)) AS whole
 FROM documents CROSS JOIN lex GROUP BY doc_id""",
+    "many_topic_scores": f"""WITH {ds.SPEECH_SQL}, {ds.lexicon_sql(ds.MANY)}, {ds.HIT_SQL},
+c AS (SELECT session_name, topic, {_MEASURES} FROM hit GROUP BY session_name, topic)
+SELECT session_name, topic, speeches, hits, covered, round(score, 6) AS score, round(coverage_pct, 6) AS coverage_pct, round(hits_per_100, 6) AS hits_per_100 FROM c""",
     "indexed_keyword_counts": """WITH lex AS (SELECT DISTINCT item_id % 7 AS topic, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS kw FROM benchmark),
 hit AS (SELECT d.doc_id, count(*) AS hits, count(DISTINCT topic) AS topics FROM documents d JOIN lex ON contains(lower(d.text), kw) GROUP BY d.doc_id)
 SELECT d.doc_id AS speech_key, coalesce(hits, 0) AS hits, coalesce(topics, 0) AS topics FROM documents d LEFT JOIN hit USING (doc_id)""",

@@ -59,6 +59,19 @@ def test_scores_count_hits_and_speeches_apart(spark):
     assert cell["hits_per_100"] == 75.0
 
 
+def test_many_topics_equal_few(spark, monkeypatch):
+    lexicon = lx.Lexicon.of({"t": ["가", "나"], "u": ["다"], "v": ["없"]}, weights={"u": 0.5})
+    df = spark.createDataFrame([("p", "가나"), ("p", "가"), ("p", None), ("q", "다"), (None, "라"), (None, "다")], "party string, x string")
+    counted = df.withColumn("topic_counts", lx.topic_counts(F.col("x"), lexicon)).unionByName(
+        spark.createDataFrame([("q", None, None)], "party string, x string, topic_counts array<int>")
+    )
+    few = lx.topic_cells(counted, lexicon, ["party"])
+    monkeypatch.setattr(lx, "MANY_TOPICS", 2)
+    many = lx.topic_cells(counted, lexicon, ["party"])
+    zero = lambda frame: sorted(tuple(r) for r in frame.fillna({"party": "", "hits": 0, "covered": 0}).collect())
+    assert many.dtypes == few.dtypes and zero(many) == zero(few) and len(zero(many)) == 9
+
+
 def test_lexicon_table_round_trip(spark):
     stored = AREAS.to_table(spark, "areas")
     assert lx.Lexicon.from_table(stored, "areas") == AREAS

@@ -99,3 +99,12 @@ def test_changed_session_loses_rows_and_bad_answers_wait(spark, tmp_path):
     refresh.store(bare, later, session.filter(~here), agenda.filter(~here), vectors, root, "v1")
     left = {name: {r["session_name"] for r in tables.read_table(spark, name, root).select("session_name").collect()} for name in tables.TABLES}
     assert left.pop("sessions") == {"제415회", "제416회"} and set(map(frozenset, left.values())) == {frozenset({"제415회"})}
+
+
+def test_prompts_show_as_much_as_is_asked_for(spark):
+    nothing = spark.createDataFrame([], tables.TABLES["sessions"])
+    long = speeches(spark).withColumn("speech_text", F.concat("speech_text", F.repeat(F.lit("가"), 900), F.lit("끝")))
+    work = refresh.changed_sessions(long, nothing, "v1")
+    for cuts, ends in (((300, 400), (0, 0)), ((2000, 400), (2, 0)), ((300, 2000), (0, 2))):
+        shown = refresh.prompts(long, work, "", *cuts)
+        assert tuple(shown[k].filter(F.contains("prompt", F.lit("가끝"))).count() for k in ("session", "agenda")) == ends
