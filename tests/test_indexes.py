@@ -64,3 +64,36 @@ def test_nearest(spark, lists):
     for i, q in asked:
         want = sorted((-round(cosine(q, v), 9) + 0.0, j) for j, v in rows if v is not None)[:7] if q else []
         assert [(j, -s) for s, j in want] == got[i] or [j for _, j in want] == [j for j, _ in got[i]]
+
+
+def test_best_of_a_part(spark, monkeypatch):
+    """Of 900 vectors a query takes at most k rows out of its task, whatever the tiles; equal vectors go by row."""
+    import numpy as np
+    import pyarrow as pa
+
+    from speechmill.operators import vector_index
+
+    draw = np.random.default_rng(5)
+    u = np.repeat(draw.normal(size=(300, 5)), 3, axis=0)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    q = u[::100]
+    rows = lambda m, **more: pa.table({**more, next(iter(["q"] if len(m) < 20 else ["u"])): list(m)})
+    queries = rows(q, far=np.zeros(9), limit=np.full(9, 16.0), zero=np.zeros(9, bool))
+    vectors = rows(u, away=np.zeros(900))
+    want = [sorted(range(900), key=lambda j, i=i: (-round(float(q[i] @ u[j]), 9), j))[:7] for i in range(9)]
+    for tile in (2, 64, 4096):
+        monkeypatch.setattr(vector_index, "TILE_VECTORS", tile)
+        at, place, similarity = vector_index._best(queries, vectors, 7)
+        assert [place[at == i].tolist() for i in range(9)] == want and len(similarity) == 63
+
+
+def test_nearest_in_parts_and_shelves(spark, monkeypatch):
+    from speechmill.operators import vector_index
+
+    monkeypatch.setattr(vector_index, "PART_VECTORS", 11)
+    monkeypatch.setattr(vector_index, "SHELF_QUERIES", 3)
+    rows = [(i, [math.cos(i % 50), math.sin(i % 50), 1.0]) for i in range(120)]
+    df = spark.createDataFrame(rows, "key long, embedding array<double>")
+    got = VectorIndex.build(df, "key", lists=2).nearest(df.filter("key < 8"), "key", k=3).orderBy("query", "rank").collect()
+    assert [(r["query"], r["key"]) for r in got if round(r["similarity"], 9) == 1] == [(i, j) for i in range(8) for j in range(i, 120, 50)][: len(got)]
+    assert len(got) == 24
