@@ -97,3 +97,11 @@ def test_nearest_in_parts_and_shelves(spark, monkeypatch):
     got = VectorIndex.build(df, "key", lists=2).nearest(df.filter("key < 8"), "key", k=3).orderBy("query", "rank").collect()
     assert [(r["query"], r["key"]) for r in got if round(r["similarity"], 9) == 1] == [(i, j) for i in range(8) for j in range(i, 120, 50)][: len(got)]
     assert len(got) == 24
+
+
+def test_probes_are_the_anchors_of_a_text(spark):
+    """What leaves a text are its q-grams in the bitmap's slots: here, only anchors."""
+    index = keyword_index.build(spark.createDataFrame([(1, "cat"), (2, "😀文"), (3, "z")], "topic int, keyword string"))
+    texts = spark.createDataFrame([(1, "the cat sat, cat"), (2, "x😀文😀文"), (3, ""), (4, "zz" + "ab" * 5000)], "key long, source string")
+    got = keyword_index._probes(texts, index.select("anchor"), [1, 2, 3]).collect()
+    assert sorted(map(tuple, got)) == [(1, "cat"), (2, "😀文"), (4, "z")]
