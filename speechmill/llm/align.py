@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from speechmill.llm.common import stored
 
 #: Characters of text in a batch, and pieces of text that a worker remembers.
-BATCH, CACHED_PIECES, LONGEST_CACHED = 2 << 20, 150_000, 64
+BATCH, CACHED_PIECES, LONGEST_CACHED = 1 << 20, 150_000, 64
 #: Pieces of a document that one pair of pointers goes through.
 LANE = 64
 #: No token of either side reaches over a single space between two characters that are not white space.
@@ -183,7 +183,7 @@ def _decimals(most: int) -> np.ndarray:
     return table
 
 
-def written_groups(ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, digits: np.ndarray, rows: int = 1 << 20) -> Iterator[bytes]:
+def written_groups(ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, digits: np.ndarray, rows: int = 1 << 18) -> Iterator[bytes]:
     """``a1,a2|b1;a3|b2,b3;`` of all groups in order, some groups at a time; every group ends with a semicolon."""
     start = 0
     while start < len(cut_a):

@@ -70,3 +70,10 @@ def test_lockstep():
     to_a, to_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
     got = align.lockstep(np.array(ends_a), np.array(ends_b), to_a - sizes_a, to_b - sizes_b, to_a, to_b)
     assert list(zip(got[0].tolist(), got[1].tolist(), strict=True)) == want
+
+
+def test_batches_of_a_million_characters(spark):
+    """Two million characters of short documents are two rows at least, so that no row grows beyond what a task holds."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat('some words here ', 3200) AS text").coalesce(1)
+    batches = align.aligned_batches(docs, A, B, align.BATCH, "doc_id", "text").select("doc_ids").collect()
+    assert sorted(i for r in batches for i in r["doc_ids"]) == list(range(40)) and len(batches) >= 2
