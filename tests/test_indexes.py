@@ -23,6 +23,41 @@ def test_postings(spark):
     assert entries == {(1, "x", 2): 1, (1, "y", 1): 1, (4, "y", 1): 2}
 
 
+@pytest.mark.parametrize("pairs", [False, True])
+def test_leading_postings_hold_all_leaders_whole_and_few_others(spark, pairs):
+    frequent = [f"f{i}" for i in range(30)]
+    rows = []
+    for key in range(300):
+        words = random.choices(frequent, range(1, 31), k=200) + [f"r{key}_{i}" for i in range(50)]
+        random.shuffle(words)
+        rows.append(("abc"[key % 3], key, words))
+    # Few words and ties, no words, no text, no group; characters of several bytes.
+    rows += [("few", 300, ["é", "é", "한국"]), ("few", 301, []), ("few", 302, None), (None, 303, ["f1", "f1", "😀"])]
+    df = spark.createDataFrame(rows, "g string, k long, t array<string>").repartition(3, "k")
+    table = postings.tokenised(df, F.col("t"), "k", ["g"])
+    got = collections.defaultdict(list)
+    blocks = collections.defaultdict(set)
+    for r in postings.leading(table, ["g"], 20, pairs, limit=5_000).collect():
+        assert (r["cf"], r["df"]) == (sum(r["tfs"]), len(r["docs"]))
+        got[r["g"], r["term"]] += zip(r["docs"], r["tfs"], strict=True)
+        for doc in r["docs"]:
+            blocks[doc].add(r["block"])
+    want, counts = collections.defaultdict(list), collections.defaultdict(collections.Counter)
+    for g, key, words in rows:
+        words = words or []
+        bag = collections.Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:]) if pairs])
+        counts[g].update(bag)
+        for term, tf in bag.items():
+            want[g, term].append((key, tf))
+    for g, counted in counts.items():
+        last = sorted(counted.values(), reverse=True)[:20][-1]
+        assert {(g, t) for t, n in counted.items() if n >= last} <= set(got)
+    assert all(sorted(got[x]) == sorted(want[x]) for x in got)
+    assert all(len(b) == 1 for b in blocks.values()) and len(set.union(*blocks.values())) > 3
+    # The rare terms, nearly all of them, form no rows.
+    assert len(got) < len(want) / 10
+
+
 TEXTS = [(1, None), (2, ""), (3, "a"), (4, "AB ab"), (5, "한국어 문장 하나"), (6, "naïve 😀😀 text"), (7, "the cat sat"), (8, "aaaaaa")]
 
 

@@ -208,6 +208,28 @@ def test_tfidf_by_hand(spark):
     assert got["b"] == pytest.approx(idf_x / n1 / 2)
 
 
+def test_tfidf_of_pairs_by_group(spark):
+    rows = [("p", 1, ["a", "b", "a", "b"]), ("p", 2, ["b", "c"]), ("p", 3, []), ("p", 4, None), ("q", 5, ["c", "c", "é"]), ("q", 6, ["a"]), ("r", 7, ["a"])]
+    grams = [(g, k, t and t + [f"{a} {b}" for a, b in zip(t, t[1:])]) for g, k, t in rows]
+    got, same = (
+        {
+            (r["g"], r["term"]): r["weight"]
+            for r in terms.tfidf_keywords(spark.createDataFrame(x, "g string, k int, t array<string>"), F.col("t"), "k", ["g"], 3, 3, 1, pairs=p).collect()
+        }
+        for x, p in ((rows, True), (grams, False))
+    )
+    want = {}
+    for group, n in (("p", 4), ("q", 2)):
+        bags = [Counter(t or []) for g, _, t in grams if g == group]
+        total, held = sum(bags, Counter()), Counter(t for b in bags for t in b)
+        idf = {t: math.log((1 + n) / (1 + held[t])) + 1 for t in sorted(total, key=lambda t: (-total[t], t))[:3]}
+        for bag in bags:
+            norm = math.sqrt(sum((bag[t] * idf[t]) ** 2 for t in idf))
+            for t in idf.keys() & bag.keys():
+                want[group, t] = want.get((group, t), 0) + bag[t] * idf[t] / norm / n
+    assert got == same == {x: pytest.approx(w) for x, w in want.items()}
+
+
 def test_month_extremes_take_the_first_month(spark):
     df = spark.createDataFrame([("t", "2024-02", 1.0), ("t", "2024-01", 1.0), ("t", "2024-03", 0.0), ("t", "2024-04", 0.0)], "topic string, month string, score double")
     r = rollups.month_extremes(df, "month").first()
